@@ -84,3 +84,11 @@ def text_size(docs: DataFrame, text: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text)))).first()
     return n, size or 0
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name

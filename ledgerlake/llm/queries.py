@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import drop_lines
+from .parity_join import link_components
 from .suffix_dedup import remove_repeats
 
 
@@ -17,9 +19,32 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(_read(spark, sf_dir, "documents"), min_chars=1, min_docs=10, report=True)
+
+
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+_TRIMMED = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL = {
+    "op4_line_dedup": f"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        line AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM doc),
+        keyed AS (SELECT *, {_LOWER.format(_TRIMMED.format("line"))} AS key FROM line),
+        often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+               sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.at) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+        FROM keyed k LEFT JOIN often o ON k.key = o.key GROUP BY k.r""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
