@@ -65,11 +65,10 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    release(spark)  # what the steps before have shuffled is no longer needed
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    del df
-    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

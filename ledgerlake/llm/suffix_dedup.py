@@ -3,7 +3,7 @@
 A difference cover D of the residues mod v has, for any two positions, a shift below v that takes both
 into the cover.  A string of `length` bytes found at two places therefore has a common suffix of at
 least length - v + 1 bytes that starts at a sampled position of both.  As in difference-cover suffix
-sorting, sampled positions are named by sorting triples of blocks, the names of a triple are named
+sorting, sampled positions are named by sorting triples of 8-byte words, names of triples are named
 again (the recursion; it ends at the depth that `length` bytes need), suffixes between the samples are
 merged in through their sampled neighbours, and adjacent entries of the sorted order are compared.
 Names are 64-bit fingerprints, not ranks: naming then needs no global sort, and equal names stand side
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runs import bits_for, pack, settle, split, text_size, unpack
+from ._runs import bits_for, pack, release, settle, split, text_size, unpack
 from ._text import U, mix, to_bytes
 
 #: Perfect difference sets: modulus and residues.
@@ -45,28 +45,24 @@ def _cover(length: int) -> int:
     return next((v for v in COVERS if length - v + 1 >= 24), 3)
 
 
-def _block(word, at, size: int):
-    """Name of data[at:at + size]: overlapping 8-byte words, folded."""
-    offsets = [*range(0, max(1, size - 7), 8)]
-    if size >= 8 and offsets[-1] != size - 8:
-        offsets.append(size - 8)
-    h = np.full(len(at), size, U)
+def _fold(word, at, offsets):
+    h = np.full(len(at), len(offsets), U)
     for o in offsets:
-        x = word[at + o]
-        if size < 8:
-            x = x & U((1 << (8 * size)) - 1)
-        h = (h ^ x) * _K
+        h ^= word[at + o]
+        h *= _K
         h ^= h >> U(29)
     return h
 
 
-def _names(word, at, size: int):
-    """Name of data[at:at + size] from the names of a triple of blocks that cover it."""
-    third = (size + 2) // 3
-    h = np.zeros(len(at), U)
-    for o in (0, third, size - third):
-        h = mix(h + _block(word, at + o, third) * U(0xD6E8FEB86659FD93))
-    return h
+def _triple(word, at, size: int):
+    """Name of a sampled suffix by the triple of 8-byte words at the begin, middle and end of its first `size` bytes."""
+    return _fold(word, at, (0, (size - 8) // 2, size - 8))
+
+
+def _full(word, at, size: int):
+    """Name of data[at:at + size]: the triples of names again, over words that leave no byte out."""
+    offsets = [*range(0, size - 8, 8), size - 8]
+    return mix(_fold(word, at, offsets))
 
 
 class _Slab:
@@ -93,25 +89,24 @@ class _Slab:
         """Sampled positions with their document and name."""
         v = _cover(self.length)
         reach = self.length - v + 1
-        period = np.array(COVERS[v], np.int64)
-        at, doc = [], []
-        for k in np.flatnonzero(np.diff(self.starts) >= reach):
-            room = self.starts[k + 1] - self.starts[k] - reach + 1
-            p = (np.arange(0, room, v)[:, None] + period).ravel()
-            p = p[p < room] + self.starts[k]
-            at.append(p)
-            doc.append(np.full(len(p), k, np.int32))
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, U)
-        at, doc = np.concatenate(at), np.concatenate(doc)
-        return at, doc, _names(self.word, at, reach)
+        room = np.maximum(np.diff(self.starts) - reach + 1, 0)
+        turns = -(-room // v)
+        first = np.cumsum(turns) - turns
+        doc = np.repeat(np.arange(len(room), dtype=np.int32), turns)
+        at = (np.arange(len(doc)) - first[doc]) * v
+        at = (at[:, None] + np.array(COVERS[v])).ravel()
+        doc = np.repeat(doc, len(COVERS[v]))
+        fits = at < room[doc]
+        doc = doc[fits]
+        at = at[fits] + self.starts[doc]
+        return at, doc, _triple(self.word, at, reach)
 
     def merged(self, shared, mask):
         """Starts with a shared sampled name within reach, their document and full-length name."""
         v = _cover(self.length)
         at, doc, name = self.sampled()
         name &= mask
-        hit = _in(name, shared) | self._several(name, doc)
+        hit = _in(name, np.union1d(shared, _twice(name)))
         hit &= ~self.copy[doc]
         at, doc = at[hit], doc[hit]
         step = np.zeros(int(self.starts[-1]) + 1, np.int32)
@@ -121,35 +116,29 @@ class _Slab:
         doc = np.searchsorted(self.starts, start, side="right") - 1
         fits = start + self.length <= self.starts[doc + 1]
         start, doc = start[fits], doc[fits]
-        return start, doc, _names(self.word, start, self.length)
-
-    def _several(self, name, doc):
-        """True where another id of this slab has the same name."""
-        order = np.argsort(name, kind="stable")
-        s, r = name[order], self.rank[doc[order]]
-        if not len(s):
-            return np.zeros(0, bool)
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        g = np.cumsum(first) - 1
-        begin = np.flatnonzero(first)
-        low, high = np.minimum.reduceat(r, begin), np.maximum.reduceat(r, begin)
-        out = np.zeros(len(name), bool)
-        out[order] = (low < high)[g]
-        return out
+        return start, doc, _full(self.word, start, self.length)
 
     def later(self, name, doc):
         """True where a smaller id of this slab has the same name."""
-        order = np.argsort(name, kind="stable")
-        s, r = name[order], self.rank[doc[order]]
-        if not len(s):
-            return np.zeros(0, bool)
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        low = np.minimum.reduceat(r, np.flatnonzero(first))
         out = np.zeros(len(name), bool)
-        out[order] = r > low[np.cumsum(first) - 1]
+        some = np.flatnonzero(_in(name, _twice(name)))
+        if len(some):
+            sub = name[some]
+            order = np.argsort(sub)
+            s, r = sub[order], self.rank[doc[some[order]]]
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            low = np.minimum.reduceat(r, np.flatnonzero(first))
+            out[some[order]] = r > low[np.cumsum(first) - 1]
         return out
 
 
+def _twice(name):
+    """The values that occur more than once, sorted."""
+    s = np.sort(name)
+    again = s[1:][s[1:] == s[:-1]]
+    return again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+
+
 def _in(values, held):
     """Membership in a sorted array, most misses settled by a bitmap that fits the cache."""
     if not len(held) or not len(values):
@@ -239,8 +228,8 @@ def _meet(above_lowest: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if with_text)."""
-    if length < 8:
-        raise ValueError("length must be at least 8 bytes")
+    if length < 10:
+        raise ValueError("length must be at least 10 bytes")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, size = text_size(base, "text")
@@ -311,5 +300,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared = settle(placed.groupBy("slab").applyInArrow(send_samples, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(False), _BACK_DDL), "shared-names")
     full = settle(placed.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(send_merged, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(True), _BACK_DDL), "repeats")
+    release(spark)
     back = shared.unionByName(full.filter("kind = 0").withColumn("kind", F.lit(2)))
     return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(cut, ddl)
