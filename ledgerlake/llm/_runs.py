@@ -62,21 +62,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+def settle(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    free: what was shuffled for it is large and goes at once, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
-    release(spark)  # what the steps before have shuffled is no longer needed
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if free:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_size(docs: DataFrame, text: str) -> tuple[int, int]:

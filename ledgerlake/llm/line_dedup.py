@@ -141,7 +141,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     placed, slab, size = _slabbed(docs, id_col, text_col, slab_bytes)
     bits = bits_for(size / 40, SHARD_LINES)
-    runs = settle(_index_runs(placed, slab, id_col, text_col, max(1, min_chars), bits), "line-runs")
+    runs = settle(_index_runs(placed, slab, id_col, text_col, max(1, min_chars), bits), "line-runs", free=True)
     index = settle(build_index(runs, min_docs), "line-index")
     back = _probe(runs, index, min_docs)
     kept_type = docs.schema

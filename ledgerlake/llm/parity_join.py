@@ -149,7 +149,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar by exact intersection."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = settle(_sets(docs, id_col, text_col, n, wanted), "sets")
+    sets = settle(_sets(docs, id_col, text_col, n, wanted), "sets", free=True)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -164,7 +164,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = nodes.withColumnRenamed("doc_id", "rep").join(same, ["n_shingles", "set_a", "set_b", "rep"], "left_semi")
     held = first.select(F.explode("keys").alias("key"), "rep")
     meets = held.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
-    members = settle(held.join(meets, "key").filter("rep > head").distinct(), "members")
+    members = settle(held.join(meets, "key").filter("rep > head").distinct(), "members", free=True)
     links = settle(_verified(members.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), docs, id_col, text_col, n, num, den), "links")
     # rows of one doc_id are one node: an id with several sets links their representatives
     ids = nodes.join(same, ["n_shingles", "set_a", "set_b"]).select("doc_id", "rep")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runs import bits_for, pack, release, settle, split, text_size, unpack
+from ._runs import bits_for, pack, settle, split, text_size, unpack
 from ._text import U, mix, to_bytes
 
 #: Perfect difference sets: modulus and residues.
@@ -298,8 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out[name_].append(x)
         return _batch(schema, **out)
 
-    shared = settle(placed.groupBy("slab").applyInArrow(send_samples, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(False), _BACK_DDL), "shared-names")
-    full = settle(placed.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(send_merged, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(True), _BACK_DDL), "repeats")
-    release(spark)
+    shared = settle(placed.groupBy("slab").applyInArrow(send_samples, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(False), _BACK_DDL), "shared-names", free=True)
+    full = settle(placed.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(send_merged, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(True), _BACK_DDL), "repeats", free=True)
     back = shared.unionByName(full.filter("kind = 0").withColumn("kind", F.lit(2)))
     return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(cut, ddl)
