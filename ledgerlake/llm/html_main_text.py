@@ -128,7 +128,7 @@ def features(page: str):
             yield ("chrome" if chrome else "link" if link else "word"), n, main and not chrome
 
 
-PRIOR = {"word": 1.0, "link": 0.2, "chrome": -1.0, "tag": -1.0}
+PRIOR = {"word": 3.0, "link": 0.5, "chrome": -1.0, "tag": -0.5}
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:

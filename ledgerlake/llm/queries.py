@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_main_text import main_text
 from .line_dedup import drop_lines
 from .parity_join import link_components
+from .robust_rules import rate
+from .source_mix import taken
 from .suffix_dedup import remove_repeats
 
 
@@ -19,10 +22,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate(_read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(_read(spark, sf_dir, "documents"), min_chars=1, min_docs=10, report=True)
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(_read(spark, sf_dir, "documents"))
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
