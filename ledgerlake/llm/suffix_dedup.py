@@ -10,10 +10,9 @@ Names are 64-bit fingerprints, not ranks: naming then needs no global sort, and
 by side in the order by name just the same.
 
 Distributed form: slabs are ranges of doc_id, so that of two slabs the lower holds the smaller ids.
-Sorted runs of sampled names go to buckets (ranges of names), which return to each slab the names that
-another slab holds too.  Only starts that have a shared sampled name within reach are merged: their
-full-length names go the same way, and a bucket returns a name to every slab above the lowest that holds
-it.  Within a slab the same comparison is made directly.  No pairs are made; a string that stands in a
+Sorted runs of sampled names go to buckets (ranges of names), which return to each slab a bit for each name:
+whether another slab holds it too.  Only starts that have a shared sampled name within reach are merged: their
+full-length names go the same way, and a bucket flags a name for every slab above the lowest that holds it.  Within a slab the same comparison is made directly.  No pairs are made; a string that stands in a
 third of all documents is one entry of each slab's run.
 
 Defined results: null text is empty; a row without doc_id counts as larger than every id (it removes
@@ -101,12 +100,10 @@ class _Slab:
         at = at[fits] + self.starts[doc]
         return at, doc, _triple(self.word, at, reach)
 
-    def merged(self, shared, mask):
+    def merged(self, at, doc, name, shared):
         """Starts with a shared sampled name within reach, their document and full-length name."""
         v = _cover(self.length)
-        at, doc, name = self.sampled()
-        name &= mask
-        hit = _in(name, np.union1d(shared, _twice(name)))
+        hit = _in(name, shared)
         hit &= ~self.copy[doc]
         at, doc = at[hit], doc[hit]
         step = np.zeros(int(self.starts[-1]) + 1, np.int32)
@@ -160,19 +157,21 @@ def _batch(schema, **cols):
 
 _RUN = pa.schema([("bucket", pa.int64()), ("slab", pa.int64()), ("kind", pa.int32()), ("run", pa.binary())])
 _RUN_DDL = "bucket long, slab long, kind int, run binary"
-_BACK = pa.schema([("slab", pa.int64()), ("kind", pa.int32()), ("run", pa.binary())])
-_BACK_DDL = "slab long, kind int, run binary"
+_BACK = pa.schema([("slab", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary())])
+_BACK_DDL = "slab long, kind int, bucket long, flags binary"
+
+
+def _digests(slab: _Slab):
+    """Distinct digests in order, and their leading 64 bits."""
+    d = np.array(sorted({d for d in slab.digest if d}), "S16")
+    return d, np.array([int.from_bytes(x.ljust(16, b"\0")[:8], "big") for x in d.tolist()], U)
 
 
 def _out_runs(slab: int, names, digests, bits: int):
-    rows = []
-    for b, part in split(names, bits):
-        rows.append((b, slab, 0, pack(names[part])))
-    if len(digests):
-        d = np.sort(np.array([x for x in digests], "S16"))
-        top = np.array([int.from_bytes(x.ljust(16, b"\0")[:8], "big") for x in d.tolist()], U)
-        for b, part in split(top, bits):
-            rows.append((b, slab, 1, b"".join(x.ljust(16, b"\0") for x in d[part].tolist())))
+    rows = [(b, slab, 0, pack(names[part])) for b, part in split(names, bits)]
+    if digests is not None:
+        d, top = digests
+        rows += [(b, slab, 1, b"".join(x.ljust(16, b"\0") for x in d[part].tolist())) for b, part in split(top, bits)]
     return _batch(_RUN, **{k: [r[n] for r in rows] for n, k in enumerate(("bucket", "slab", "kind", "run"))})
 
 
@@ -180,16 +179,22 @@ def _read_slab(table: pa.Table, length: int) -> _Slab:
     return _Slab(np.asarray(table["id"]), to_bytes(table["text"]), length)
 
 
-def _returned(table: pa.Table, kind: int) -> list[bytes]:
-    return [r for k, r in zip(table["kind"].to_pylist(), table["run"].to_pylist()) if k == kind]
+def _flagged(values, top, back: pa.Table, kind: int, bits: int):
+    """Those of the values that a slab has sent which the buckets have flagged: a bit a value comes back."""
+    reply = {b: f for k, b, f in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["flags"].to_pylist()) if k == kind}
+    out = np.zeros(len(values), bool)
+    for b, part in split(top, bits):
+        n = part.stop - part.start
+        out[part] = np.unpackbits(np.frombuffer(reply[b], np.uint8), count=n)
+    return values[out]
 
 
-def _sorted(blobs: list[bytes]):
-    return np.sort(np.concatenate([unpack(b) for b in blobs])) if blobs else np.zeros(0, U)
+def _meet(first_kind: int):
+    """Bucket side: compare neighbours in the order by name, and flag for each slab the names that others hold.
 
-
-def _meet(above_lowest: bool):
-    """Bucket side: compare neighbours in the order by name, and tell each slab the names that others hold."""
+    first_kind 0: sampled names, flagged for every slab of several.  Digests, and full names (first_kind 2), are flagged
+    for every slab above the lowest that holds them.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         rows = []
@@ -198,30 +203,24 @@ def _meet(above_lowest: bool):
             own = [(s, r) for s, k, r in zip(slabs, kinds, runs) if k == kind]
             if not own:
                 continue
-            if kind == 0:
-                parts = [unpack(r) for _, r in own]
-                name = np.concatenate(parts)
-            else:
-                parts = [np.frombuffer(r, "S16") for _, r in own]
-                name = np.concatenate(parts)
-            slab = np.repeat(np.array([s for s, _ in own], np.int64), [len(p) for p in parts])
+            own.sort(key=lambda x: x[0])  # by slab, so that a stable order by name has the lowest slab first
+            parts = [unpack(r) if kind == 0 else np.frombuffer(r, "S16") for _, r in own]
+            name = np.concatenate(parts)
+            ends = np.cumsum([len(p) for p in parts])
             del parts
-            order = np.lexsort((slab, name)) if above_lowest or kind else np.argsort(name, kind="stable")
+            order = np.argsort(name, kind="stable")
             s = name[order]
             same = s[1:] == s[:-1]
             hit = np.zeros(len(s), bool)
             hit[1:] |= same
-            if not (above_lowest or kind):
+            if kind == 0 and first_kind == 0:
                 hit[:-1] |= same
-            picked = order[hit]
-            to = slab[picked]
-            by = np.argsort(to, kind="stable")
-            picked, to = picked[by], to[by]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else [0]
-            for a, b in zip(cut[:-1], cut[1:]):
-                part = name[picked[a:b]]
-                rows.append((int(to[a]), kind, pack(np.sort(part)) if kind == 0 else b"".join(x.ljust(16, b"\0") for x in part.tolist())))
-        return _batch(_BACK, slab=[r[0] for r in rows], kind=[r[1] for r in rows], run=[r[2] for r in rows])
+            flags = np.zeros(len(s), bool)
+            flags[order] = hit
+            bucket = table["bucket"][0].as_py()
+            for (slab, _), a, b in zip(own, [0, *ends[:-1]], ends):
+                rows.append((slab, kind or first_kind, bucket, np.packbits(flags[a:b]).tobytes()))
+        return _batch(_BACK, **{k: [r[n] for r in rows] for n, k in enumerate(("slab", "kind", "bucket", "flags"))})
 
     return meet
 
@@ -256,14 +255,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_samples(key, table):
         s = _read_slab(table, length)
         _, _, name = s.sampled()
-        return _out_runs(key[0].as_py(), np.unique(name & mask), {d for d in s.digest if d}, bits)
+        return _out_runs(key[0].as_py(), np.unique(name & mask), _digests(s), bits)
 
-    def send_merged(key, table, back):
+    def merged(table, back):
+        """The slab with its whole-text copies marked, and the merged starts of its other documents."""
         s = _read_slab(table, length)
-        whole = set(b"".join(_returned(back, 1))[k : k + 16] for k in range(0, 16 * (sum(map(len, _returned(back, 1))) // 16), 16))
-        s.copy |= np.array([bool(d) and d in whole for d in s.digest], bool)
-        _, _, name = s.merged(_sorted(_returned(back, 0)), mask)
-        return _out_runs(key[0].as_py(), np.unique(name), (), bits)
+        whole = set(_flagged(*_digests(s), back, 1, bits).tolist())
+        s.copy |= np.array([bool(d) and d.rstrip(b"\0") in whole for d in s.digest], bool)
+        at, doc, name = s.sampled()
+        name &= mask
+        order = np.sort(name)
+        again = np.concatenate([[False], order[1:] == order[:-1]])
+        distinct = order[~again]
+        return s, s.merged(at, doc, name, np.union1d(_flagged(distinct, distinct, back, 0, bits), order[again]))
+
+    def send_merged(key, table, back):
+        _, (_, _, name) = merged(table, back)
+        return _out_runs(key[0].as_py(), np.unique(name), None, bits)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -273,12 +281,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = pa.schema(fields)
 
     def cut(key, table, back):
-        s = _read_slab(table, length)
-        blob = b"".join(_returned(back, 1))
-        whole = {blob[k : k + 16] for k in range(0, len(blob), 16)}
-        s.copy |= np.array([bool(d) and d in whole for d in s.digest], bool)
-        start, doc, name = s.merged(_sorted(_returned(back, 0)), mask)
-        gone = _in(name, _sorted(_returned(back, 2))) | s.later(name, doc)
+        s, (start, doc, name) = merged(table, back)
+        distinct = np.unique(name)
+        gone = _in(name, _flagged(distinct, distinct, back, 2, bits)) | s.later(name, doc)
         step = np.zeros(int(s.starts[-1]) + 1, np.int32)
         np.add.at(step, start[gone], 1)
         np.add.at(step, start[gone] + length, -1)
@@ -298,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out[name_].append(x)
         return _batch(schema, **out)
 
-    shared = settle(placed.groupBy("slab").applyInArrow(send_samples, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(False), _BACK_DDL), "shared-names", free=True)
-    full = settle(placed.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(send_merged, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(True), _BACK_DDL), "repeats", free=True)
-    back = shared.unionByName(full.filter("kind = 0").withColumn("kind", F.lit(2)))
+    shared = settle(placed.groupBy("slab").applyInArrow(send_samples, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(0), _BACK_DDL), "shared-names", free=True)
+    full = settle(placed.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(send_merged, _RUN_DDL).groupBy("bucket").applyInArrow(_meet(2), _BACK_DDL), "repeats", free=True)
+    back = shared.unionByName(full)
     return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(cut, ddl)
