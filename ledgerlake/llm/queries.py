@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_main_text import main_text
+from .ivf_pq import search
+from .license_scan import licenses
 from .line_dedup import drop_lines
 from .parity_join import link_components
+from .piece_lattice import segment
 from .robust_rules import rate
 from .source_mix import taken
 from .suffix_dedup import remove_repeats
+from .warc_writer import archive_and_read
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +30,10 @@ def op2_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(_read(spark, sf_dir, "documents"))
 
 
+def op3_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(_read(spark, sf_dir, "documents"), min_chars=1, min_docs=10, report=True)
 
@@ -34,18 +42,37 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages"))
 
 
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(_read(spark, sf_dir, "pages"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_read(spark, sf_dir, "documents"))
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment(_read(spark, sf_dir, "documents"), n=3)
+
+
 _TRIMMED = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op6_warc_writer": """
+        WITH page AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        last AS (SELECT html, max(page_id) AS response, count(*) AS copies FROM page WHERE n >= 1000 GROUP BY html)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN response IS NOT NULL AND page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+        FROM page LEFT JOIN last USING (html)""",
     "op4_line_dedup": f"""
         WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         line AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM doc),
