@@ -20,7 +20,7 @@ ARTIFACT = r"(?i)miscaption|\baltered\b|ai[ -]?gener|deepfake|doctored|digitally
 
 
 def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
 def _pair(v, s: str) -> Column:
@@ -32,19 +32,19 @@ def _place(value, best, worst) -> Column:
     return F.when(hi != lo, (v - lo) / (hi - lo))
 
 
-def numeric_label(value, best=F.lit(5), worst=F.lit(1)) -> Column:
+def numeric_label(value, best=5, worst=1) -> Column:
     """refuted, conflicting or supported by the place between worst and best; null if unparsable."""
     p = _place(value, best, worst)
     return F.when(p < 0.4, "refuted").when(p <= 0.6, "conflicting").when(p.isNotNull(), "supported")
 
 
-def numeric_veracity(value, best=F.lit(5), worst=F.lit(1)) -> Column:
+def numeric_veracity(value, best=5, worst=1) -> Column:
     """struct(veracity, subtype) in five steps."""
     p = _place(value, best, worst)
     return F.when(p < 0.2, _pair(1, "clear_false")).when(p < 0.4, _pair(2, "mostly_false")).when(p <= 0.6, _pair(3, "mixed")).when(p < 0.8, _pair(4, "mostly_true")).when(p.isNotNull(), _pair(5, "clear_true")).otherwise(_pair(None, ""))
 
 
-def refined_numeric(text, value, best=F.lit(5), worst=F.lit(1)) -> Column:
+def refined_numeric(text, value, best=5, worst=1) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
     nei = r"(?i)\bno (?:evidence|proof|record|reports?|sign|trace|basis)\b|unverified|unproven|unsubstantiated|baseless|no confirmation"
     ce = r"(?i)nuanced|close,? but|partly|partially|mixture|misleading|missing context|out of context|needs context|half[- ]?true"
