@@ -15,7 +15,8 @@ out (an equal part with more remains); one with t or more sends them all.  So no
 Equal sets are one representative from the start.  Documents that meet at a part are compared with the
 part's smallest member, never all with all.  Only members that stay outside the component of that smallest member
 are then compared with the other members of their parts: any two members still apart include such a one.
-Every link is verified by exact intersection of the shingle sets.
+A pair is first held against its bit sketches: every shingle flips one of about 8 d bits, so their Hamming distance is at most
+the symmetric difference, and a pair beyond d leaves the join itself.  Every link is then verified by exact intersection of the shingle sets.
 
 Defined results: null or empty text, or text without words, has no shingles and no links; text with
 fewer than n words is one shingle; rows of one doc_id are one node; rows without doc_id take no part and
@@ -43,7 +44,7 @@ class Bands:
         if not 0 < num < den:
             raise ValueError("similarity must lie between 0 and 1")
         self.num, self.den = num, den
-        self.edges, self.parts, self.slack = [1], [], []
+        self.edges, self.parts, self.slack, self.width = [1], [], [], []
 
     def _grow(self, size: int) -> None:
         while self.edges[-1] <= size:
@@ -59,6 +60,7 @@ class Bands:
                 t = 2 + math.ceil(2 * (d + 1) * math.exp(-rate) * (1 + rate))
             self.parts.append(d + t if d else 0)
             self.slack.append(t)
+            self.width.append(-(-8 * d // 64))
 
     def of(self, sizes):
         """Band of each size of at least 1."""
@@ -92,6 +94,20 @@ class Bands:
         order = np.argsort(owner, kind="stable")
         return key[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
+    def sketches(self, starts, shingles, lower: int):
+        """Bit sketch of each set for its own band (lower 0) or the one below (1): where each begins, and the 64-bit words."""
+        sizes = np.diff(starts)
+        band = self.of(sizes) - lower
+        width = np.where(band >= 0, np.array(self.width)[band], 0)
+        first = np.concatenate([[0], np.cumsum(width)])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        live = width[doc] > 0
+        doc = doc[live]
+        bit = mix(shingles[live] ^ U(0x8EBC6AF09C88C6E3)) % (64 * width[doc]).astype(U)
+        word = np.zeros(first[-1], U)
+        np.bitwise_xor.at(word, first[doc] + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+        return first, word
+
 
 def shingle_sets(chunk, n: int):
     """Where each document's set begins, and the sets' hashes."""
@@ -114,7 +130,7 @@ def _list(starts, values):
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128-bit identity of the set), keys (of its sketch parts)."""
+    """doc_id, n_shingles, set_a, set_b (128-bit identity of the set), keys (of its sketch parts), band, own and low (bit sketches)."""
 
     def run(batches):
         bands = Bands(num, den)
@@ -126,14 +142,21 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
             a[size == 0] = b[size == 0] = 0
             filled = size > 0
             key, at = bands.keys(np.concatenate([[0], np.cumsum(size[filled])]), h)
-            count = np.zeros(chunk.n, np.int64)
-            count[filled] = np.diff(at)
+            some = np.concatenate([[0], np.cumsum(size[filled])])
+            band = np.full(chunk.n, -1)
+            band[filled] = bands.of(size[filled])
+
+            def spread(at, values):
+                count = np.zeros(chunk.n, np.int64)  # noqa: B023
+                count[filled] = np.diff(at)  # noqa: B023
+                return _list(np.concatenate([[0], np.cumsum(count)]), values)
+
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _list(np.concatenate([[0], np.cumsum(count)]), key)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [rows.column(0), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), spread(at, key), pa.array(band.astype(np.int32)), spread(*bands.sketches(some, h, 0)), spread(*bands.sketches(some, h, 1))],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "band", "own", "low"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, band int, own array<long>, low array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -146,6 +169,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame
     return some.mapInArrow(run, "id long, shingles array<long>")
 
 
+def _may_link(a: str, b: str, num: int, den: int):
+    """The Hamming distance of two sketches (structs n, band, own, low) leaves room for a link."""
+    low = F.least(f"{a}.band", f"{b}.band")
+    side = lambda x: F.when(F.col(f"{x}.band") == low, F.col(f"{x}.own")).otherwise(F.col(f"{x}.low"))
+    apart = F.aggregate(F.zip_with(side(a), side(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = F.lit(den) * F.least(f"{a}.n", f"{b}.n") >= F.lit(num) * F.greatest(f"{a}.n", f"{b}.n")
+    return near & (F.lit(den + num) * apart <= F.lit(den - num) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar by exact intersection."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
@@ -165,7 +197,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = first.select(F.explode("keys").alias("key"), "rep")
     meets = held.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
     members = settle(held.join(meets, "key").filter("rep > head").distinct(), "members", free=True)
-    links = settle(_verified(members.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), docs, id_col, text_col, n, num, den), "links")
+    marks = settle(first.join(members.select(F.explode(F.array("head", "rep")).alias("rep")).distinct(), "rep", "left_semi").select("rep", F.struct(F.col("n_shingles").alias("n"), "band", "own", "low").alias("k")), "marks")
+    mark = lambda x: marks.select(F.col("rep").alias(x), F.col("k").alias(f"k{x}"))
+    star = members.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct().join(mark("b"), "b")
+    ka = mark("a").withColumnRenamed("a", "a2")
+    star = star.join(ka, (star["a"] == ka["a2"]) & _may_link("ka", "kb", num, den)).select("a", "b").distinct()
+    links = settle(_verified(settle(star, "star"), docs, id_col, text_col, n, num, den), "links")
     # rows of one doc_id are one node: an id with several sets links their representatives
     ids = nodes.join(same, ["n_shingles", "set_a", "set_b"]).select("doc_id", "rep")
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
@@ -174,17 +211,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = settle(components(links, "a", "b"), "components")
 
     named = lambda df, col, out: df.join(comp.select(F.col("id").alias(col), F.col("component").alias("c")), col, "left").withColumn(out, F.coalesce("c", col)).drop("c")
-    placed = named(named(members, "rep", "rep_in"), "head", "head_in")
+    placed = settle(named(named(members, "rep", "rep_in"), "head", "head_in"), "placed")
     apart = settle(placed.filter("rep_in <> head_in").select("key", "head", F.col("rep").alias("b"), F.col("rep_in").alias("b_in")), "apart")
     if not apart.isEmpty():
-        others = placed.select("key", F.col("rep").alias("a"), F.col("rep_in").alias("a_in"))
-        pairs = apart.join(others, "key").filter("a_in <> b_in").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        others = placed.join(apart.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("key2"), F.col("rep").alias("a"), F.col("rep_in").alias("a_in"))
+        left, right = apart.join(mark("b"), "b"), others.join(mark("a"), "a")
+        pairs = left.join(right, (left["key"] == right["key2"]) & (left["b_in"] != right["a_in"]) & _may_link("ka", "kb", num, den))
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         more = settle(_verified(pairs, docs, id_col, text_col, n, num, den), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = settle(components(links, "a", "b"), "components")
 
-    rep = drawn.drop("keys").join(same, ["n_shingles", "set_a", "set_b"], "left")
+    rep = drawn.select("doc_id", "n_shingles", "set_a", "set_b").join(same, ["n_shingles", "set_a", "set_b"], "left")
     out = rep.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
