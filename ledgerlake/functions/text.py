@@ -171,12 +171,23 @@ def article_lines(c) -> Column:
     return F.array_distinct(good)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def first_of_each_udf(s: pd.Series) -> pd.Series:
+    """The first of strings that differ only in case or spacing."""
+
+    def first(x):
+        seen: dict[str, str] = {}
+        for t in x if x is not None else ():
+            seen.setdefault(" ".join(t.split()).lower(), t)
+        return list(seen.values())
+
+    return s.map(first)
+
+
 def sentences(c) -> Column:
     """Sentences by end mark and capital, line by line, first of those that differ only in case or spacing."""
     parts = F.flatten(F.transform(F.split(_text(c), "\n"), lambda p: F.split(p, r"(?<=[.!?\"])\s+(?=[A-Z\"'0-9(])")))
-    full = F.filter(F.transform(parts, F.trim), lambda s: s != "")
-    keys = F.transform(full, lambda s: F.lower(F.regexp_replace(s, r"\s+", " ")))
-    return F.filter(full, lambda s, k: F.array_position(keys, F.get(keys, k)) == k + 1)
+    return first_of_each_udf(F.filter(F.transform(parts, F.trim), lambda s: s != ""))
 
 
 def sentences_capped(c, most: int = 800) -> Column:

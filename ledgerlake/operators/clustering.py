@@ -67,7 +67,6 @@ def token_pairs(items: DataFrame, item: str = "id", text: str = "norm", cap: int
 
 def key_pairs(keys: DataFrame, item: str = "id", key: str = "key", cap: int = 40, spread: int = 10) -> DataFrame:
     """(a, b, shared keys) of items with a common key: all pairs up to `cap` items, beyond that the first with all and neighbours at a stride."""
-    w = Window.partitionBy(key).orderBy(item)
     placed = keys.select(F.col(item).alias("id"), F.col(key).alias("k")).distinct()
     w = Window.partitionBy("k").orderBy("id")
     placed = placed.select("id", "k", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n"), F.first("id").over(w).alias("hub"), F.lead("id").over(w).alias("next"))
@@ -83,7 +82,7 @@ def key_pairs(keys: DataFrame, item: str = "id", key: str = "key", cap: int = 40
 def cluster(items: DataFrame, item: str = "id", text: str = "norm", urls: DataFrame | None = None, edge: float = 0.58, edge_cited: float = 0.25, cap: int = 40, ultra: int = 15, stop: list[str] | None = None) -> DataFrame:
     """items with cluster_id (its least item), cluster_size.
 
-    Equal texts are one cluster, empty ones too.  Pairs come from rare shared tokens and, with urls (item, key), from cited
+    Equal texts are one cluster, empty ones too.  Pairs come from rare shared tokens and, with urls (id, key), from cited
     pages; a pair is an edge from similarity `edge` on, or from `edge_cited` on with two shared pages and a rare token.
     """
     same = items.groupBy(text).agg(F.min(item).alias("b"))
@@ -91,7 +90,7 @@ def cluster(items: DataFrame, item: str = "id", text: str = "norm", urls: DataFr
     by_token = token_pairs(items, item, text, cap, ultra, stop).withColumn("rare", F.lit(1))
     pairs = by_token
     if urls is not None:
-        pairs = by_token.join(key_pairs(urls, item, "key", cap), ["a", "b"], "full")
+        pairs = by_token.join(key_pairs(urls, "id", "key", cap), ["a", "b"], "full")
     else:
         pairs = by_token.withColumn("shared", F.lit(0))
     pairs = _cut(pairs)

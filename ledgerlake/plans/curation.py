@@ -224,10 +224,10 @@ def repair_join(spark, d):
 
 
 @query("""
-    SELECT d.doc_id, min(b.item_id) AS item_id FROM documents d LEFT JOIN documents e ON false LEFT JOIN benchmark b ON substr(d.text, 1, 8) = substr(b.text, 1, 8) GROUP BY d.doc_id""")
+    SELECT d.doc_id, coalesce(min(b.item_id), -1) AS item_id FROM documents d LEFT JOIN benchmark b ON substr(d.text, 1, 8) = substr(b.text, 1, 8) GROUP BY d.doc_id""")
 def prefix_join(spark, d):
     docs, b = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
-    return J.prefix_join(docs, b, "text", "ref", 8).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    return J.prefix_join(docs, b, "text", "ref", 8).groupBy("doc_id").agg(F.coalesce(F.min("item_id"), F.lit(-1)).alias("item_id"))
 
 
 @query("""
@@ -439,11 +439,11 @@ def blake_fold(spark, d):
 
 
 @query("""
-    SELECT c_name AS name, c_acctbal AS bal, c_mktsegment AS segment, CAST(NULL AS BIGINT) AS suppkey FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_suppkey FROM supplier""")
+    SELECT c_name AS name, c_acctbal AS bal, c_mktsegment AS segment, CAST(-1 AS BIGINT) AS suppkey FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_suppkey FROM supplier""")
 def relaxed_union(spark, d):
     c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"), F.col("s_suppkey").alias("suppkey"))
-    return J.relaxed_union(c, s)
+    return J.relaxed_union(c, s).withColumn("suppkey", F.coalesce("suppkey", F.lit(-1)))
 
 
 @query("SELECT k, src FROM (SELECT c_nationkey AS k, 'customer' AS src, 0 AS p FROM customer UNION ALL SELECT s_nationkey, 'supplier', 1 FROM supplier UNION ALL SELECT n_nationkey, 'nation', 2 FROM nation) QUALIFY row_number() OVER (PARTITION BY k ORDER BY p) = 1")

@@ -1,0 +1,370 @@
+"""Text, URL, similarity, passage and vector queries.  Stand-ins: documents are claims and pages of text, pages are web pages, benchmark is a reference corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import urls as N
+from ..operators import clustering as C
+from ..operators import passages as P
+from ..operators import relational as J
+from ..operators import vectors as V
+from .registry import query, table
+
+# -- text -------------------------------------------------------------------------------------------
+
+_SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_NORM = "substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', '', 'g'), '[^a-z0-9_\\s''àâçéèêëîïôùûüœæ-]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 500)"
+_NORM_CLAIM = "substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', '', 'g'), '[^a-z0-9_\\s''-]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 400)"
+_TEMPLATE = "substr(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), 1, 400)"
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''\\-]*'), lambda w: length(w) >= 4))"
+_TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+
+
+def _docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, {_NORM} AS note, {_NORM_CLAIM} AS claim, {_TEMPLATE} AS template FROM documents")
+def norm_text(spark, d):
+    return _docs(spark, d).select("doc_id", X.norm("text").alias("note"), X.norm_claim("text").alias("claim"), X.norm_template("text").alias("template"))
+
+
+@query(f"SELECT doc_id, list_sort({_CONTENT.format('text')}) AS tokens FROM documents")
+def content_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_sort(X.content_tokens("text")).alias("tokens"))
+
+
+@query(f"""
+    SELECT doc_id, len(list_intersect({_CONTENT.format('b.text')}, {_CONTENT.format('d.text')})) >= 0.15 * len({_CONTENT.format('b.text')}) AS on_topic, len(list_intersect({_CONTENT.format('b.text')}, {_CONTENT.format('d.text')})) >= 0.6 * len({_CONTENT.format('b.text')}) AS anchored
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+def on_topic(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    j = _docs(spark, d).withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(b), "item_id")
+    return j.select("doc_id", X.on_topic("text", "claim").alias("on_topic"), X.anchored("claim", "text").alias("anchored"))
+
+
+@query()
+def redundant_queries(spark, d):
+    """Turns of a conversation that bring no new content token."""
+    c = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
+    return c.select("conv_id", "turn", X.redundant_query("text", F.collect_list("text").over(w)).alias("redundant"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda k: substr(t, k, 3)))) AS n FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) < 3000)")
+def trigrams(spark, d):
+    return _docs(spark, d).filter("length(text) < 3000").select("doc_id", F.size(X.char_trigrams("text")).cast("long").alias("n"))
+
+
+@query("""
+    WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(substr(text, 1, 5000)), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CASE WHEN len(w) >= 8 THEN len(list_distinct(list_transform(range(1, greatest(len(w) - 6, 2)), lambda k: array_to_string(w[k:k + 7], ' ')))) ELSE 0 END AS n FROM w""")
+def shingles(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(X.word_shingles("text")).cast("long").alias("n"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n, length(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôùûüœæÀÂÇÉÈÊËÎÏÔÙÛÜŒÆ]', '', 'g')) AS k FROM documents)
+    SELECT doc_id, round(CASE WHEN n > 0 THEN k / n ELSE 0 END, 6) AS ratio FROM l""")
+def latin_ratio(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(X.latin_ratio("text"), 6).alias("ratio"))
+
+
+@query(f"SELECT doc_id, len(list_intersect({_TOKENS.format('text')}, ['the', 'of', 'and', 'le', 'la', 'des'])) >= 2 AND length(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôùûüœæÀÂÇÉÈÊËÎÏÔÙÛÜŒÆ]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS ok FROM documents WHERE regexp_matches(text, '\\p{{L}}')")
+def lang_ok(spark, d):
+    words = F.array(*[F.lit(w) for w in ("the", "of", "and", "le", "la", "des")])
+    return _docs(spark, d).filter(F.col("text").rlike(r"\p{L}")).select("doc_id", X.language_ok("text", words).alias("ok"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, regexp_matches(text, '(?i)^(this|that|these|those|he|she|they|it|here|there)\\b') AS a, regexp_matches(text, '\\?\\s*$') AS b, regexp_matches(text, '^[a-z]') AS c,
+      length(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôùûüœæÀÂÇÉÈÊËÎÏÔÙÛÜŒÆ]', '', 'g')) AS k, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n, length(text) < 25 AS e FROM documents)
+    SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'deixis' END, CASE WHEN b THEN 'question' END, CASE WHEN c THEN 'fragment' END, CASE WHEN n = 0 OR k / n < 0.9 THEN 'non-latin' END, CASE WHEN e THEN 'short' END) AS flags FROM f""")
+def quality_flags(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(X.quality_flags("text"), ",").alias("flags"))
+
+
+@query()
+def page_walls(spark, d):
+    """Readable or not, for page sources and for wall texts."""
+    walls = F.array(*[F.lit(x) for x in ("", "Please enable JavaScript", "We use cookies. " * 40, "404 not found " * 40, "Sign in to continue. " * 30)])
+    p = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 6 < 5, F.get(walls, (F.col("page_id") % 6).cast("int"))).otherwise(F.col("html")).alias("t"))
+    return p.select("page_id", X.page_wall("t").alias("wall"), X.is_junk("t", F.array(F.lit("content"), F.lit("title"))).alias("junk"))
+
+
+@query()
+def article_lines(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(X.article_lines("text")).alias("n_lines"), F.size(X.sentences("text")).alias("n_sentences"), X.sentences_capped("text")["dropped"].alias("dropped"))
+
+
+@query()
+def cleaned_text(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(X.clean_text_udf("html"), 256).alias("clean"), F.sha2(X.join_text_udf("html"), 256).alias("key"), F.length(X.markdown_prose_udf("html")).alias("prose"))
+
+
+@query()
+def json_pointers(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("answer: "), "props", F.lit(" end")).alias("t"), F.concat(F.lit("[1, \"3-5\", ["), (F.col("event_id") % 9).cast("string"), F.lit(", 7]]")).alias("ev"))
+    return e.select("event_id", F.get_json_object(X.first_json_udf("t"), "$.k").cast("int").alias("k"), X.evidence_ids_udf("ev").alias("ids"), X.segment_id(F.concat(F.lit("S"), (F.col("event_id") % 7).cast("string"))).alias("segment"))
+
+
+@query(f"SELECT t AS template, count(*) AS copies FROM (SELECT {_TEMPLATE} AS t FROM documents) GROUP BY t HAVING count(*) >= 3")
+def scam_templates(spark, d):
+    return _docs(spark, d).groupBy(X.norm_template("text").alias("template")).agg(F.count(F.lit(1)).alias("copies")).filter("copies >= 3")
+
+
+@query("""
+    WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS token FROM documents) SELECT token, count(*) AS df FROM w GROUP BY token HAVING count(*) > 1""")
+def document_frequency(spark, d):
+    t = _docs(spark, d).select(F.explode(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z0-9_]+", " "), " "), lambda x: x != ""))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+
+
+# -- URLs -------------------------------------------------------------------------------------------
+
+_HOST = "regexp_replace(regexp_extract(lower({}), '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^(www|m|web|l|mobile|vt)\\.', '')"
+_DOMAIN = "regexp_replace(lower(regexp_extract({}, 'https?://([^/]+)', 1)), '^www\\.', '')"
+
+
+@query(f"SELECT page_id, {_HOST.format('url')} AS host, {_DOMAIN.format('url')} AS domain FROM pages")
+def host(spark, d):
+    return table(spark, d, "pages").select("page_id", N.host("url").alias("host"), N.domain("url").alias("domain"))
+
+
+@query("""
+    WITH u AS (SELECT page_id, regexp_extract(regexp_replace(lower(url), '[.,);\\]"’]+$', ''), '^https?://(?:www\\.)?(\\S+)', 1) AS r FROM pages), p AS (SELECT page_id, regexp_replace(regexp_extract(r, '^([^?#]*)', 1), '/+$', '') AS p FROM u)
+    SELECT page_id, CASE WHEN length(p) > 12 THEN p END AS cited FROM p""")
+def norm_url(spark, d):
+    return table(spark, d, "pages").select("page_id", N.citation("url").alias("cited"))
+
+
+@query("""
+    WITH u AS (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^(www|m|amp)\\.', '') AS h,
+      lower(regexp_replace(regexp_replace(url_decode(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/(amp|amp\\.html)$', ''), '/+$', '')) AS p,
+      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_.*|fbclid|gclid|ref|ref_src|igshid|mc_cid|mc_eid)='))), '&') AS q FROM pages)
+    SELECT page_id, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS review FROM u""")
+def review_url(spark, d):
+    return table(spark, d, "pages").select("page_id", N.review_url("url").alias("review"))
+
+
+@query()
+def post_url(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat("url", F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=a&v=1&s=20")).alias("u"))
+    return p.select("page_id", N.post_url("u").alias("post"), N.origin_domain(F.concat(F.lit("https://web.archive.org/web/2020/"), "u")).alias("origin"))
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, string_split({_DOMAIN.format('url')}, '.') AS p FROM pages)
+    SELECT page_id, CASE WHEN len(p) >= 3 AND p[-2] IN ('co', 'com', 'net', 'org', 'ac', 'gov', 'go', 'gob') THEN array_to_string(p[-3:], '.') WHEN len(p) >= 2 THEN array_to_string(p[-2:], '.') ELSE p[1] END AS voice FROM p""")
+def voice_key(spark, d):
+    return table(spark, d, "pages").select("page_id", N.voice_key(N.domain("url")).alias("voice"))
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, url, {_DOMAIN.format('url')} AS d FROM pages), s AS (SELECT page_id, d, CASE WHEN d LIKE '%example.com' THEN 80.0 WHEN d LIKE '%example.org' THEN 65.0 END AS ng FROM p)
+    SELECT page_id, CASE WHEN ng IS NULL THEN 3 WHEN ng >= 75 THEN 1 ELSE 2 END AS tier, CASE WHEN ng IS NULL THEN 'UNRATED' ELSE 'RELIABLE' END AS rel FROM s""")
+def source_tier(spark, d):
+    """Tier and reliability by outlet scores that are found through the registrable domain."""
+    scores = spark.createDataFrame([("example.com", 80.0), ("example.org", 65.0)], "domain string, score double")
+    p = N.with_score(table(spark, d, "pages").select("page_id", "url", N.domain("url").alias("dom")), "dom", scores)
+    return p.select("page_id", N.source_tier(F.col("dom"), F.col("url"), F.col("ng")).alias("tier"), N.reliability(F.col("dom"), F.col("url"), F.col("ng"))["rel"].alias("rel"))
+
+
+@query(f"SELECT page_id FROM pages WHERE {_DOMAIN.format('url')} NOT LIKE '%.example.org' AND {_DOMAIN.format('url')} <> 'example.org'")
+def blocked_domains(spark, d):
+    return N.drop_domains(table(spark, d, "pages").select("page_id", "url"), "url", spark.createDataFrame([("example.org",)], "domain string")).select("page_id")
+
+
+@query()
+def outlet_names(spark, d):
+    p = table(spark, d, "pages").select("page_id", N.domain("url").alias("dom"))
+    return p.select("page_id", F.array_sort(N.name_tokens("dom", F.lit("Daily_Herald99"))).alias("names"), F.array_sort(N.expand_aliases("dom")).alias("aliases"), N.is_primary("dom").alias("is_primary"), N.is_fact_checker("dom").alias("checker"))
+
+
+# -- similarity and clustering ----------------------------------------------------------------------
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id, doc_id % 20 AS k, {_TOKENS.format('text')} AS t, text FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS ref_id, doc_id % 20 AS k, {_TOKENS.format('text')} AS t, text FROM documents WHERE doc_id % 2 = 0),
+    p AS (SELECT doc_id, ref_id, a.text = b.text AS same, round(CASE WHEN len(a.t) + len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 9) AS j FROM a JOIN b ON a.k = b.k AND doc_id < ref_id),
+    r AS (SELECT *, count(*) FILTER (same) OVER w AS n_same, max(j) OVER w AS top FROM p WINDOW w AS (PARTITION BY doc_id)), s AS (SELECT *, count(*) FILTER (j = top) OVER (PARTITION BY doc_id) AS tied FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY same DESC, j DESC, ref_id) = 1)
+    SELECT a.doc_id, CASE WHEN ref_id IS NULL THEN 'no_key_match' WHEN n_same > 1 THEN 'exact_multiclaim' WHEN n_same = 1 THEN 'exact' WHEN j < 0.9 THEN 'claim_mismatch' WHEN tied > 1 THEN 'ambiguous' ELSE 'near' END AS status,
+      CASE WHEN n_same > 0 OR (j >= 0.9 AND tied = 1) THEN ref_id ELSE -1 END AS ref_id, round(j, 6) AS jaccard FROM a LEFT JOIN s ON s.doc_id = a.doc_id""")
+def best_match(spark, d):
+    docs = _docs(spark, d).filter("doc_id % 2 = 0").withColumn("k", F.col("doc_id") % 20)
+    a, b = docs.select("doc_id", "k", "text"), docs.select(F.col("doc_id").alias("ref_id"), "k", F.col("text").alias("ref"))
+    # a document is matched with later ones of its key only
+    pairs = a.join(b, "k").filter("doc_id < ref_id").select("doc_id", "ref_id", "text", "ref")
+    left = a.select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
+    right = pairs.select(F.col("doc_id").cast("string").alias("key"), "ref_id", "ref")
+    return J.best_match(left, right, "key", "doc_id", "ref_id", "text", "ref").select("doc_id", "status", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.doc_id < b.doc_id AND len(a.t) > 0 AND least(len(a.t), len(b.t)) >= 0.85 * greatest(len(a.t), len(b.t)) - 1e-9)
+    SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS j FROM p WHERE round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 9) >= 0.85""")
+def near_pairs(spark, d):
+    """All pairs of documents with token-set Jaccard of 0.85 and more."""
+    return C.similar_pairs(_docs(spark, d), "doc_id", "text", 0.85).select("a", "b", F.round("j", 6).alias("j"))
+
+
+@query()
+def greedy_dedup(spark, d):
+    return C.greedy_dedup(_docs(spark, d), "doc_id", "text", 0.85).select("doc_id", "kept")
+
+
+@query()
+def claim_clusters(spark, d):
+    """Clusters of claims by rare tokens and trigram similarity, with quality marks."""
+    items = _docs(spark, d).select("doc_id", X.norm_claim("text").alias("norm"))
+    c = C.cluster(items, "doc_id", edge=0.60)
+    return C.representatives(c, [F.desc(F.length("norm")), F.col("doc_id")]).select("doc_id", "cluster_id", "cluster_size", "is_rep", "collapsible")
+
+
+@query()
+def note_clusters(spark, d):
+    """Clusters of page heads that also share cited URLs."""
+    p = table(spark, d, "pages").select("page_id", "url", X.norm(F.substring("html", 60, 400)).alias("norm"))
+    urls = p.select(F.col("page_id").alias("id"), N.citation("url").alias("key")).filter("key is not null")
+    return C.cluster(p.select("page_id", "norm"), "page_id", urls=urls).select("page_id", "cluster_id", "cluster_size")
+
+
+@query()
+def leak_tag(spark, d):
+    """Documents that a benchmark text is near to."""
+    return C.leak_tag(_docs(spark, d), table(spark, d, "benchmark").select(F.col("text").alias("ref")), "doc_id", "text", "ref", 0.3).select("doc_id", "leak")
+
+
+@query()
+def syndication(spark, d):
+    p = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return C.syndication(p, "conv_id", "turn", X.sentences("text")).select("conv_id", "turn", "origin_rank", X.wire_copy("text", "reuters").alias("wire"))
+
+
+# -- passages ---------------------------------------------------------------------------------------
+
+
+def _sentences(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    s = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("pos", "sentence"))
+    return s.withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(b), "item_id").drop("item_id")
+
+
+_ANCHOR = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9''\\-]*'), lambda w: regexp_matches(w, '[0-9]') OR length(w) > 3 OR (length(w) <= 3 AND regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))), lambda w: lower(w)))"
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS s FROM documents WHERE lang = 'en'), e AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM l),
+    t AS (SELECT doc_id, pos, {_ANCHOR.format('sentence')} AS st, {_ANCHOR.format('b.text')} AS q FROM e JOIN benchmark b ON b.item_id = doc_id % 40), z AS (SELECT *, count(*) OVER w AS n, greatest(avg(len(st)) OVER w, 1) AS av FROM t WINDOW w AS (PARTITION BY doc_id)),
+    h AS (SELECT doc_id, pos, n, av, len(st) AS ln, unnest(list_intersect(st, q)) AS term FROM z), f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM h),
+    m AS (SELECT doc_id, pos, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * ln / av))) AS m FROM f GROUP BY ALL)
+    SELECT z.doc_id, cast(z.pos AS INT) AS pos, round(coalesce(m, 0), 6) AS bm25 FROM z LEFT JOIN m ON m.doc_id = z.doc_id AND m.pos = z.pos""".replace("0.75 * ln / av", "0.75 * f.ln / av"))
+def bm25_sentences(spark, d):
+    s = P.bm25_sentences(_sentences(spark, d), "doc_id", "pos", "sentence", X.anchor_terms("claim"))
+    return s.select("doc_id", "pos", F.round("bm25", 6).alias("bm25"))
+
+
+@query()
+def bm25_selection(spark, d):
+    s = P.bm25_sentences(_sentences(spark, d), "doc_id", "pos", "sentence", X.anchor_terms("claim"))
+    return P.selected_sentences(s, "doc_id", "pos", "sentence", 1500, 20)
+
+
+@query()
+def bm25_regions(spark, d):
+    s = P.bm25_sentences(_sentences(spark, d), "doc_id", "pos", "sentence", X.anchor_terms("claim"))
+    return P.selected_regions(s, "doc_id", "pos", "sentence", 1000, 3)
+
+
+@query("""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w), 250)) AS k FROM w) SELECT doc_id, count(*) AS chunks, max(k) AS last FROM c GROUP BY doc_id""")
+def bm25_chunks(spark, d):
+    """Windows of 300 words at a stride of 250."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    c = _docs(spark, d).select("doc_id", F.size(P.chunks(F.col("text"))).cast("long").alias("chunks")).filter("chunks > 0")
+    return c.select("doc_id", "chunks", ((F.col("chunks") - 1) * 250).alias("last"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t), e AS (SELECT doc_id, len(w) AS l, unnest(w) AS t FROM t), f AS (SELECT doc_id, l, t, count(*) AS tf FROM e WHERE t IN ('the', 'with', 'that') GROUP BY ALL), g AS (SELECT t, count(*) AS df FROM f GROUP BY t)
+    SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / av))), 6) AS bm25 FROM f JOIN g USING (t), s GROUP BY doc_id""")
+def bm25_corpus(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]+)"), 1)
+    return P.bm25_corpus(_docs(spark, d), "doc_id", words, ["the", "with", "that"]).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query()
+def windows(spark, d):
+    s = _docs(spark, d).select("doc_id", X.sentences("text").alias("s"))
+    cited = F.array((F.col("doc_id") % 5 + 1).cast("int"), (F.col("doc_id") % 5 + 4).cast("int"))
+    return s.select("doc_id", F.sha2(P.context_windows("s", cited, F.lit(1)), 256).alias("shown"))
+
+
+@query()
+def numbered_block(spark, d):
+    s = _docs(spark, d).select("doc_id", X.sentences("text").alias("s"), X.keywords(F.substring("text", 1, 200)).alias("k"))
+    return s.select("doc_id", F.length(P.numbered_block("s", "k", F.lit(300))).alias("chars"))
+
+
+# -- vectors ----------------------------------------------------------------------------------------
+
+_COS = "list_cosine_similarity(a.v, b.v)"
+_VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+
+
+@query(f"""
+    WITH {_VEC}, p AS (SELECT a.vec_id AS query, b.vec_id, round({_COS}, 9) AS sim FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    SELECT query, vec_id, round(sim, 6) AS sim, cast(row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS INT) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) <= 10""")
+def cosine_knn(spark, d):
+    v = _vectors(spark, d)
+    return V.nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 10).select("query", "vec_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"""
+    WITH {_VEC}, p AS (SELECT a.vec_id AS query, b.vec_id, b.label AS cluster, round({_COS}, 9) AS sim FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) <= 40)
+    SELECT query, cluster, vec_id FROM p QUALIFY row_number() OVER (PARTITION BY query, cluster ORDER BY sim DESC, vec_id) = 1""")
+def nearest_per_cluster(spark, d):
+    v = _vectors(spark, d)
+    hits = V.nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 40).select("query", "vec_id", "sim")
+    return V.nearest_per_cluster(hits, v.select("vec_id", F.col("label").alias("cluster")), "vec_id").select("query", "cluster", "vec_id")
+
+
+@query(f"""
+    WITH RECURSIVE {_VEC}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND round({_COS}, 9) >= 0.62), r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+    SELECT id AS vec_id, min(c) AS component FROM r GROUP BY id""")
+def cosine_components(spark, d):
+    return V.cosine_components(_vectors(spark, d), "label", "vec_id", "embedding", 0.62).select("vec_id", "component")
+
+
+@query()
+def medoids(spark, d):
+    return V.cosine_components(_vectors(spark, d), "label", "vec_id", "embedding", 0.62).filter("is_medoid").select("component", "vec_id")
+
+
+@query()
+def kmeans(spark, d):
+    return V.kmeans(_vectors(spark, d), "vec_id", "embedding", 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mmr(spark, d):
+    v = _vectors(spark, d)
+    hits = V.nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 30)
+    return P.mmr_rows(hits.join(v, "vec_id").select("query", "vec_id", "sim", "embedding"), "query", "vec_id", "sim", "embedding")
+
+
+@query(f"SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS first FROM embeddings GROUP BY label")
+def centroid_upsert(spark, d):
+    """Running means: half of the members first, the rest added."""
+    v = _vectors(spark, d)
+    none = spark.createDataFrame([], "label int, n long, centroid array<double>")
+    half = V.update_centroids(none, v.filter("vec_id % 2 = 0"), "label", "embedding")
+    return V.update_centroids(half, v.filter("vec_id % 2 = 1"), "label", "embedding").select("label", "n", F.round(F.element_at("centroid", 1), 5).alias("first"))
