@@ -124,7 +124,7 @@ def demix_weights(spark, d):
 
 @query(f"WITH {SCORES_SQL} SELECT claim_id, y, cast(fold AS INT) AS fold, round(score, 6) AS score FROM scores")
 def oof_scores(spark, d):
-    return scores(spark, d).select("claim_id", "y", "fold", F.round("score", 6).alias("score"))
+    return scores(spark, d).select("claim_id", "y", "fold", F.round(F.round("score", 9), 6).alias("score"))
 
 
 @query(f"""
