@@ -33,8 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._runs import free_name, settle
+from ._runs import bits_for, free_name, settle, text_size
 from ._text import U, chunked, first_of, mix, windows
+from .suffix_dedup import _BACK_DDL as BACK_DDL
+from .suffix_dedup import _RUN_DDL as RUN_DDL
+from .suffix_dedup import BUCKET_NAMES, SLAB_BYTES
+from .suffix_dedup import _flagged as flagged
+from .suffix_dedup import _in as contains
+from .suffix_dedup import _meet as meet
+from .suffix_dedup import _out_runs as out_runs
 
 
 class Bands:
@@ -130,7 +137,7 @@ def _list(starts, values):
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128-bit identity of the set), keys (of its sketch parts), band, own and low (bit sketches)."""
+    """doc_id, n_shingles, set_a, set_b (128-bit identity of the set), band, own and low (bit sketches)."""
 
     def run(batches):
         bands = Bands(num, den)
@@ -141,7 +148,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
             a, b = total(mix(h ^ U(0x1D8E4E27C47D124F)), np.add), total(mix(h + U(0xEB44ACCAB455D165)), np.bitwise_xor)
             a[size == 0] = b[size == 0] = 0
             filled = size > 0
-            key, at = bands.keys(np.concatenate([[0], np.cumsum(size[filled])]), h)
             some = np.concatenate([[0], np.cumsum(size[filled])])
             band = np.full(chunk.n, -1)
             band[filled] = bands.of(size[filled])
@@ -152,11 +158,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
                 return _list(np.concatenate([[0], np.cumsum(count)]), values)
 
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), spread(at, key), pa.array(band.astype(np.int32)), spread(*bands.sketches(some, h, 0)), spread(*bands.sketches(some, h, 1))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "band", "own", "low"],
+                [rows.column(0), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(band.astype(np.int32)), spread(*bands.sketches(some, h, 0)), spread(*bands.sketches(some, h, 1))],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "band", "own", "low"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, band int, own array<long>, low array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, band int, own array<long>, low array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -169,6 +175,53 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame
     return some.mapInArrow(run, "id long, shingles array<long>")
 
 
+def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """(key, rep): the keys that several documents have, with these documents.
+
+    Nearly all keys are of one document, so they are not sent as rows: slabs of documents send buckets sorted runs of their distinct
+    keys, get a bit back for each, and only then give the rows of the shared ones.  A key of a third of all documents
+    is one entry a slab.
+    """
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rows, size = text_size(thin, "text")
+    slabs = max(1, -(-size // SLAB_BYTES), -(-rows // 200_000))
+    placed = thin.withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs)))
+    bits = bits_for(size / 6, BUCKET_NAMES)
+
+    def keyed(table):
+        """Keys and their documents, one document of those with equal sets in the slab: the smallest id."""
+        bands, keys, owners = Bands(num, den), [], []
+        found: dict[tuple, int] = {}
+        order = np.argsort(np.asarray(table["id"]), kind="stable")
+        for batch in table.take(pa.array(order)).combine_chunks().to_batches():
+            for part, chunk in chunked([batch], "text"):
+                ids = np.asarray(part.column(0))
+                starts, h = shingle_sets(chunk, n)
+                total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x1D8E4E27C47D124F)), dtype=U)])
+                marks = list(zip(np.diff(starts).tolist(), (total[starts[1:]] - total[starts[:-1]]).tolist()))
+                live = np.array([m[0] > 0 and found.setdefault(m, i) == i for m, i in zip(marks, ids.tolist())], bool)
+                size_ = np.where(live, np.diff(starts), 0)
+                some = np.concatenate([[0], np.cumsum(size_[live])])
+                key, at = bands.keys(some, h[np.repeat(live, np.diff(starts))])
+                keys.append(key)
+                owners.append(np.repeat(ids[live], np.diff(at)))
+        return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+
+    def send(key, table):
+        return out_runs(key[0].as_py(), np.unique(keyed(table)[0]), None, bits)
+
+    def give(key, table, back):
+        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+        k, owner = keyed(table)
+        distinct, times = np.unique(k, return_counts=True)
+        shared = np.union1d(flagged(distinct, distinct, back, 0, bits), distinct[times > 1])
+        hit = contains(k, shared)
+        return pa.table([pa.array(k[hit].view(np.int64)), pa.array(owner[hit])], schema=schema)
+
+    back = settle(placed.groupBy("slab").applyInArrow(send, RUN_DDL).groupBy("bucket").applyInArrow(meet(0), BACK_DDL), "shared-keys", free=True)
+    return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long")
+
+
 def _may_link(a: str, b: str, num: int, den: int):
     """The Hamming distance of two sketches (structs n, band, own, low) leaves room for a link."""
     low = F.least(f"{a}.band", f"{b}.band")
@@ -194,7 +247,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = drawn.filter("n_shingles > 0 and doc_id is not null")
     same = nodes.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     first = nodes.withColumnRenamed("doc_id", "rep").join(same, ["n_shingles", "set_a", "set_b", "rep"], "left_semi")
-    held = first.select(F.explode("keys").alias("key"), "rep")
+    held = settle(shared_keys(docs, id_col, text_col, n, num, den).join(first.select("rep").distinct(), "rep", "left_semi").distinct(), "held", free=True)
     meets = held.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
     members = settle(held.join(meets, "key").filter("rep > head").distinct(), "members", free=True)
     marks = settle(first.join(members.select(F.explode(F.array("head", "rep")).alias("rep")).distinct(), "rep", "left_semi").select("rep", F.struct(F.col("n_shingles").alias("n"), "band", "own", "low").alias("k")), "marks")
