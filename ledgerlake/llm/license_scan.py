@@ -1,13 +1,12 @@
-"""License scan: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies.
+"""License scan: shingle lookup in overlapping text windows retrieves templates, shingle containment verifies.
 
 Texts and templates are lower-cased, cut into words of letters and digits, and hashed as shingles of five words.
 A text is cut into windows of 2 m words that start every m words, m being the longest template, so
 every stretch as long as a template lies whole in one window.  Shingles that no template has are left out first: they
-add nothing to the containment of a template, so nothing is lost, and few windows remain.  A window's
-signature has one minimum for each of `bands` hash functions, and each band is one row, so a window and a template with
-Jaccard similarity s (over what is left of the window) share a band with probability 1 - (1 - s)^bands: 0.9999999 at
-s = 0.4 with 32 bands.  Templates are put in with their own signature.  Retrieved pairs are
-verified by exact counts: the share of the template's distinct shingles that the window has must reach `containment`.
+add nothing to the containment of a template, so nothing is lost, and few windows remain.  A shingle brings all templates
+that have it, so that every template with a shingle in a window is a candidate there, however short it is and whatever else
+the window holds.  Candidates are verified by exact counts: the share of the template's distinct shingles that the window
+has must reach `containment`.
 
 Everything is DataFrame functions.  The template tables have a size that is fixed here, so they are broadcast.
 A text with a license that fills the corpus is one row of its own; nothing is grouped by license before counting.
@@ -23,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = 5
-BANDS = 32
 CONTAINMENT = 0.8
 
 # Public license notices and passages of public license texts.
@@ -60,10 +58,6 @@ def _shingled(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     return hashed.select(*key, F.posexplode(runs).alias("at", "shingle"))
 
 
-def _signature(shingle, bands: int):
-    return F.array(*[F.min(F.xxhash64(shingle, F.lit(k))) for k in range(bands)])
-
-
 def templates(spark: SparkSession, texts: dict[tuple[str, str], str] | None = None):
     """(shingles of templates with their number, length of the longest template in words)."""
     texts = TEMPLATES if texts is None else texts
@@ -74,21 +68,17 @@ def templates(spark: SparkSession, texts: dict[tuple[str, str], str] | None = No
     return sized, max((len(t.split()) for _, _, t in rows), default=WORDS) + 20
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, bands: int = BANDS, texts: dict[tuple[str, str], str] | None = None) -> DataFrame:
-    """doc_id, license, part, windows (that hold it), containment (the greatest), first_word."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, texts: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """doc_id, license, part, windows (that hold it), containment (the greatest), first_word (the template's first in those windows)."""
     known, m = templates(docs.sparkSession, texts)
     thin = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    near = _shingled(thin, "text", ["doc_id"]).join(F.broadcast(known.select("shingle").distinct()), "shingle", "left_semi")
+    near = _shingled(thin, "text", ["doc_id"]).join(F.broadcast(known), "shingle")
     # a shingle at word k lies in the windows that start at m * (k div m) and one before
     first = F.floor(F.col("at") / m)
-    placed = near.select("doc_id", "at", "shingle", F.explode(F.array(first, F.greatest(first - 1, F.lit(0)))).alias("window")).distinct()
-    windows = placed.groupBy("doc_id", "window").agg(_signature(F.col("shingle"), bands).alias("signature"), F.collect_set("shingle").alias("held"), F.min("at").alias("first_word"))
-    signed = known.groupBy("license", "part", "n").agg(_signature(F.col("shingle"), bands).alias("signature"), F.collect_set("shingle").alias("own"))
-    index = signed.select("license", "part", "n", "own", F.posexplode("signature").alias("band", "value"))
-    probes = windows.select("doc_id", "window", "first_word", "held", F.posexplode("signature").alias("band", "value"))
-    found = probes.join(F.broadcast(index), ["band", "value"]).dropDuplicates(["doc_id", "window", "license", "part"])
-    share = F.size(F.array_intersect("held", "own")) / F.col("n")
-    verified = found.select("doc_id", "license", "part", "first_word", share.alias("share")).filter(F.col("share") >= containment)
+    placed = near.select("doc_id", "license", "part", "n", "at", "shingle", F.explode(F.array_distinct(F.array(first, F.greatest(first - 1, F.lit(0))))).alias("window"))
+    held = placed.groupBy("doc_id", "window", "license", "part", "n", "shingle").agg(F.min("at").alias("at"))
+    counted = held.groupBy("doc_id", "window", "license", "part", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("share"), F.min("at").alias("first_word"))
+    verified = counted.filter(F.col("share") >= containment)
     return verified.groupBy("doc_id", "license", "part").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("first_word").cast("long").alias("first_word"))
 
 

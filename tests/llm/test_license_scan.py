@@ -51,3 +51,13 @@ def test_corpus_notices(spark):
             if TEMPLATES[lic, "notice"] in (r.text or ""):
                 want.add((r.doc_id, lic))
     assert want and got >= want and not any(x not in want for x in got)
+
+
+def test_short_notice_beside_long_ones(spark):
+    """A short template in a window that the shingles of others fill."""
+    short = [k for k, t in TEMPLATES.items() if len(shingles(t)) <= 4]
+    long = [k for k, t in TEMPLATES.items() if len(shingles(t)) > 20]
+    cases = [(s, a, b) for s in short for a in long for b in long if a < b]
+    df = spark.createDataFrame([(i, "\n".join(TEMPLATES[k] for k in c)) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.part): r.containment for r in scan(df).collect()}
+    assert all(got.get((i, *k)) == 1.0 for i, c in enumerate(cases) for k in c)
