@@ -53,49 +53,70 @@ def trigram_similarity(items: DataFrame, pairs: DataFrame, item: str = "id", tex
     return both.select("a", "b", F.when(union > 0, F.round(F.col("i") / union, 9)).otherwise(0.0).alias("sim"))
 
 
-def token_pairs(items: DataFrame, item: str = "id", text: str = "norm", cap: int = 40, ultra: int = 15, stop: list[str] | None = None) -> DataFrame:
-    """(a, b) that share a token of at most `ultra` items, or two rarer than `cap`: a block of more than `cap` items pairs nobody."""
+def similar_texts(items: DataFrame, least: float, item: str = "id", text: str = "norm") -> DataFrame:
+    """(a, b), a before b, that hold every pair of items whose trigram_similarity is at least `least`: weighted prefix filter.
+
+    Grams are ranked by rarity.  The grams that two such items share weigh at least `least` of either one, so the first of them is followed
+    in both by so much weight, its own included; and by least / (1 + least) of both together.
+    """
+    least = least - 1e-8  # similarities are rounded
+    grams = items.select(F.col(item).alias("id"), F.explode(X.char_trigrams(text)).alias("g"))
+    n = F.broadcast(items.agg(F.count(F.lit(1)).alias("n_items")))
+    idf = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).filter("df < n_items").select("g", "df", F.ln(F.col("n_items") / F.col("df")).alias("idf"))
+    own = Window.partitionBy("id")
+    tail = F.sum("idf").over(own.orderBy(F.desc("df"), F.desc("g")))
+    # texts that are equal to an earlier one count in idf, but need no pairs
+    firsts = items.groupBy(text).agg(F.min(item).alias("id")).select("id")
+    ranked = grams.join(firsts, "id", "left_semi").join(idf, "g").select("id", "g", "df", F.sum("idf").over(own).alias("w"), tail.alias("rest"))
+    prefix = _cut(ranked.filter((F.col("df") > 1) & (F.col("rest") >= F.col("w") * least - 1e-9)).select("id", "g", "w", "rest"))
+    left, right = (prefix.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("wa", "wb") >= F.greatest("wa", "wb") * least - 1e-9)
+    return left.join(right, "g").filter(near & (F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least)) - 1e-9)).select("a", "b").distinct()
+
+
+def sharing_tokens(items: DataFrame, pairs: DataFrame, item: str = "id", text: str = "norm", cap: int | None = None, ultra: int = 15, stop: list[str] | None = None) -> DataFrame:
+    """Those of pairs (a, b) that share a token of at most `ultra` items, or two (with `cap`, two of at most `cap` items)."""
     word = F.filter(F.array_distinct(F.split(text, " ")), lambda w: (F.length(w) > 3) & ~w.rlike("^[0-9]+$"))
     if stop:
         word = F.array_except(word, F.array(*[F.lit(w) for w in stop]))
     held = items.select(F.col(item).alias("id"), F.explode(word).alias("t"))
-    rare = held.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") > 1) & (F.col("df") <= cap))
-    block = held.join(rare, "t")
-    pairs = block.select("t", "df", F.col("id").alias("a")).join(block.select("t", F.col("id").alias("b")), "t").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count_if(F.col("df") <= ultra).alias("u"), F.count(F.lit(1)).alias("n")).filter("u > 0 or n >= 2").select("a", "b")
-
-
-def key_pairs(keys: DataFrame, item: str = "id", key: str = "key", cap: int = 40, spread: int = 10) -> DataFrame:
-    """(a, b, shared keys) of items with a common key: all pairs up to `cap` items, beyond that the first with all and neighbours at a stride."""
-    placed = keys.select(F.col(item).alias("id"), F.col(key).alias("k")).distinct()
-    w = Window.partitionBy("k").orderBy("id")
-    placed = placed.select("id", "k", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n"), F.first("id").over(w).alias("hub"), F.lead("id").over(w).alias("next"))
-    small = placed.filter(F.col("n").between(2, cap))
-    all_pairs = small.select("k", F.col("id").alias("a")).join(small.select("k", F.col("id").alias("b")), "k").filter("a < b").select("k", "a", "b")
-    big = placed.filter(F.col("n") > cap)
-    star = big.filter("id <> hub").select("k", F.col("hub").alias("a"), F.col("id").alias("b"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / (spread * 10)))
-    chain = big.filter(F.col("next").isNotNull() & ((F.col("i") - 1) % stride == 0)).select("k", F.col("id").alias("a"), F.col("next").alias("b"))
-    return all_pairs.unionByName(star).unionByName(chain).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    df = held.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1" if cap is None else f"df > 1 and df <= {cap}")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    words = held.join(involved, "id", "left_semi").join(df, "t").groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list(F.when(F.col("df") <= ultra, F.col("t"))).alias("u"))
+    left, right = (words.select(F.col("id").alias(k), F.col("t").alias(f"t{k}"), F.col("u").alias(f"u{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").filter((F.size(F.array_intersect("ta", "tb")) >= 2) | F.arrays_overlap("ua", "ub")).select(*pairs.columns)
+
+
+def cited_together(keys: DataFrame, item: str = "id", key: str = "key") -> DataFrame:
+    """(a, b) of items with two common keys or more; of n keys, two sets that share two share one of the first n - 1 of each."""
+    held = keys.select(F.col(item).alias("id"), F.col(key).alias("k")).distinct()
+    df = held.groupBy("k").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("id")
+    ranked = held.join(df, "k").select("id", "k", F.row_number().over(own.orderBy("df", "k")).alias("p"), F.count(F.lit(1)).over(own).alias("n")).filter("n > 1")
+    first = ranked.filter("p < n")
+    near = first.select("k", F.col("id").alias("a")).join(first.select("k", F.col("id").alias("b")), "k").filter("a < b").select("a", "b").distinct()
+    both = near.join(ranked.select(F.col("id").alias("a"), "k"), "a").join(ranked.select(F.col("id").alias("b"), "k"), ["b", "k"])
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 2").select("a", "b")
 
 
 def cluster(items: DataFrame, item: str = "id", text: str = "norm", urls: DataFrame | None = None, edge: float = 0.58, edge_cited: float = 0.25, cap: int = 40, ultra: int = 15, stop: list[str] | None = None) -> DataFrame:
     """items with cluster_id (its least item), cluster_size.
 
-    Equal texts are one cluster, empty ones too.  Pairs come from rare shared tokens and, with urls (id, key), from cited
-    pages; a pair is an edge from similarity `edge` on, or from `edge_cited` on with two shared pages and a rare token.
+    Equal texts are one cluster, empty ones too.  A pair is an edge from similarity `edge` on if it shares a token of at most `ultra` items or
+    any two; with urls (id, key) it is one from `edge_cited` on with two shared pages and, of its tokens, one of at most `ultra` items or two
+    of at most `cap`.  All such pairs are found, however many items have a token or a page.
     """
     same = items.groupBy(text).agg(F.min(item).alias("b"))
     free = items.join(same, text).select(F.col(item).alias("a"), "b").filter("a <> b")
-    by_token = token_pairs(items, item, text, cap, ultra, stop).withColumn("rare", F.lit(1))
-    pairs = by_token
+    held = items.select(F.col(item).alias("id"), F.col(text).alias("norm"))
+
+    def edges_of(pairs: DataFrame, least: float, cap: int | None) -> DataFrame:
+        shared = _cut(sharing_tokens(held, pairs, cap=cap, ultra=ultra, stop=stop))
+        return trigram_similarity(held, shared).filter(F.col("sim") >= least).select("a", "b")
+
+    edges = edges_of(_cut(similar_texts(held, edge)), edge, None)
     if urls is not None:
-        pairs = by_token.join(key_pairs(urls, "id", "key", cap), ["a", "b"], "full")
-    else:
-        pairs = by_token.withColumn("shared", F.lit(0))
-    pairs = _cut(pairs)
-    sims = trigram_similarity(items.select(F.col(item).alias("id"), F.col(text).alias("norm")), pairs).join(pairs, ["a", "b"])
-    edges = sims.filter((F.col("sim") >= edge) | ((F.col("sim") >= edge_cited) & (F.coalesce("shared", F.lit(0)) >= 2) & F.col("rare").isNotNull())).select("a", "b")
+        edges = edges.unionByName(edges_of(_cut(cited_together(urls)), edge_cited, cap))
     comp = components(edges.unionByName(free))
     out = items.join(comp.withColumnRenamed("id", item), item, "left").withColumn("cluster_id", F.coalesce("component", item)).drop("component")
     return out.withColumn("cluster_size", F.count(F.lit(1)).over(Window.partitionBy("cluster_id")))

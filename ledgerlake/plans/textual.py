@@ -229,7 +229,7 @@ def note_clusters(spark, d):
     """Clusters of page heads that also share cited URLs."""
     p = table(spark, d, "pages").select("page_id", "url", X.norm(F.substring("html", 60, 400)).alias("norm"))
     urls = p.select(F.col("page_id").alias("id"), N.citation("url").alias("key")).filter("key is not null")
-    return C.cluster(p.select("page_id", "norm"), "page_id", urls=urls).select("page_id", "cluster_id", "cluster_size")
+    return C.cluster(p.select("page_id", "norm"), "page_id", urls=urls, ultra=20).select("page_id", "cluster_id", "cluster_size")
 
 
 @query()

@@ -75,6 +75,38 @@ def test_clusters(spark):
     assert got[4] == (4, 1) and got[5] == got[6] == (5, 2)
 
 
+def test_clusters_of_common_tokens(spark):
+    """Sixty near copies whose words are all in more items than the cap, among others; every pair against brute force."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    base = "doctors were told that vaccines contain microchips since spring"
+    texts = [f"{base} {k}" for k in range(60)] + [" ".join(rnd.sample(words, 6)) for _ in range(60)]
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in texts]
+    df = {g: sum(g in s for s in grams) for g in set().union(*grams)}
+    w = {g: np.log(len(texts) / n) for g, n in df.items()}
+    tokens = [{x for x in t.split() if len(x) > 3} for t in texts]
+    few = {x for x in set().union(*tokens) if 1 < sum(x in s for s in tokens) <= 15}
+    lead = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = tokens[a] & tokens[b]
+            if (len(both) >= 2 or both & few) and sum(map(w.get, grams[a] & grams[b])) / sum(map(w.get, grams[a] | grams[b])) >= 0.58:
+                old, new = sorted((lead[a], lead[b]))[::-1]
+                lead = [new if x == old else x for x in lead]
+    got = {r.id: r.cluster_id for r in C.cluster(spark.createDataFrame(list(enumerate(texts)), "id long, norm string")).collect()}
+    assert got == dict(enumerate(lead)) and lead[:60] == [0] * 60
+
+
+def test_clusters_cited_together(spark):
+    """Fifty notes that cite the same two pages: no hub is needed for an edge."""
+    texts = [f"{'x' * k} apples" for k in range(1, 51)]
+    texts[20], texts[40] = "harbour closed storm tonight", "harbour closed calm tomorrow"
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    urls = spark.createDataFrame([(k, u) for k in range(50) for u in ("one.example/page", "two.example/page")], "id long, key string")
+    got = {r.id: r.cluster_id for r in C.cluster(df, urls=urls).collect()}
+    assert got[20] == got[40] == 20
+
+
 def test_passages():
     assert P.grow([10] * 6, [0, 0, 0, 0, 1, 0], 40, 99) == [0, 1, 2, 4]
     assert P.tiles([5, 5, 5, 5], [0, 1, 0, 3], 10, 1) == [(2, 4)]
