@@ -226,8 +226,8 @@ def claim_clusters(spark, d):
 
 @query()
 def note_clusters(spark, d):
-    """Clusters of page heads that also share cited URLs."""
-    p = table(spark, d, "pages").select("page_id", "url", X.norm(F.substring("html", 60, 400)).alias("norm"))
+    """Clusters of whole pages that also share cited URLs."""
+    p = table(spark, d, "pages").select("page_id", "url", X.norm("html", 2**31 - 1).alias("norm"))
     urls = p.select(F.col("page_id").alias("id"), N.citation("url").alias("key")).filter("key is not null")
     return C.cluster(p.select("page_id", "norm"), "page_id", urls=urls, ultra=20).select("page_id", "cluster_id", "cluster_size")
 
@@ -306,7 +306,7 @@ def windows(spark, d):
 
 @query()
 def numbered_block(spark, d):
-    s = _docs(spark, d).select("doc_id", X.sentences("text").alias("s"), X.keywords(F.substring("text", 1, 200)).alias("k"))
+    s = _docs(spark, d).select("doc_id", X.sentences("text").alias("s"), X.keywords("text").alias("k"))
     return s.select("doc_id", F.length(P.numbered_block("s", "k", F.lit(300))).alias("chars"))
 
 
