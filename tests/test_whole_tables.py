@@ -28,3 +28,12 @@ def test_numbered_block_takes_late_keywords(spark, tmp_path):
     want = s.select(F.length(P.numbered_block("s", "k", F.lit(300)))).first()[0]
     head = s.select(F.length(P.numbered_block("s", X.keywords(F.lit(text[:200])), F.lit(300)))).first()[0]
     assert QUERIES["numbered_block"](spark, d).first().chars == want != head
+
+
+def test_page_walls_judge_each_page(spark, tmp_path):
+    walls = ["", "Please enable JavaScript", "We use cookies. " * 40, "404 not found " * 40, "Sign in to continue. " * 30]
+    rows = [(10 + (k + 2) % 5, "u", t) for k, t in enumerate(walls)]
+    d = put(spark, tmp_path, "pages", rows, "page_id long, url string, html string")
+    want = {r.page_id: r.wall for r in spark.createDataFrame(rows, "page_id long, u string, t string").select("page_id", X.page_wall("t").alias("wall")).collect()}
+    got = {r.page_id: r.wall for r in QUERIES["page_walls"](spark, d).collect()}
+    assert got == want and got[12] == "empty" and got[13] == "thin" and None not in got.values()
