@@ -39,11 +39,19 @@ def binary_report(rows: DataFrame, gold: str, flagged: str, by: tuple[str, ...]
 
 @F.pandas_udf(T.DoubleType())
 def binomial_two_sided(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact two-sided sign test on a and b discordant pairs."""
+    """Exact two-sided sign test on a and b discordant pairs; for more than 1,000 the tail is summed from its greatest term in log space."""
 
     def p(x: int, y: int) -> float:
         n, k = x + y, min(x, y)
-        return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        if n <= 1000:
+            return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        total = term = 1.0
+        for i in range(k, 0, -1):
+            term *= i / (n - i + 1)
+            total += term
+            if term < 1e-20 * total:  # what follows is below double precision
+                break
+        return min(1.0, math.exp(math.log(2 * total) + math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)))
 
     return pd.Series([p(int(x), int(y)) for x, y in zip(a, b)])
 

@@ -1,8 +1,13 @@
 """Queries of the catalogue on small tables of their own: every row and the whole of every text count."""
 
+import math
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as X
+from ledgerlake.operators import metrics as M
 from ledgerlake.operators import passages as P
 from ledgerlake.plans import catalogue
 
@@ -37,3 +42,15 @@ def test_page_walls_judge_each_page(spark, tmp_path):
     want = {r.page_id: r.wall for r in spark.createDataFrame(rows, "page_id long, u string, t string").select("page_id", X.page_wall("t").alias("wall")).collect()}
     got = {r.page_id: r.wall for r in QUERIES["page_walls"](spark, d).collect()}
     assert got == want and got[12] == "empty" and got[13] == "thin" and None not in got.values()
+
+
+def test_mcnemar_p_over_all_orders(spark, tmp_path):
+    rows = [(k, k // 2) for k in range(300, 3000)]
+    d = put(spark, tmp_path, "orders", rows, "o_orderkey long, o_custkey long")
+    a, b = (sum((x % 3 == 0) > (y % 3 == 0) for x, y in r) for r in (rows, [(y, x) for x, y in rows]))
+    r = QUERIES["mcnemar_p"](spark, d).first()
+    exact = min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+    assert (r.n, r.only_a, r.only_b) == (2700, a, b) and r.p == pytest.approx(exact)
+    few, many = pd.Series([470, 900, 1500]), pd.Series([560, 1050, 1500])
+    want = [min(1.0, 2 * sum(math.comb(x + y, i) for i in range(x + 1)) / 2 ** (x + y)) for x, y in zip(few, many)]
+    assert M.binomial_two_sided.func(few, many).tolist() == pytest.approx(want, rel=1e-9)
