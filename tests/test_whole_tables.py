@@ -54,3 +54,13 @@ def test_mcnemar_p_over_all_orders(spark, tmp_path):
     few, many = pd.Series([470, 900, 1500]), pd.Series([560, 1050, 1500])
     want = [min(1.0, 2 * sum(math.comb(x + y, i) for i in range(x + 1)) / 2 ** (x + y)) for x, y in zip(few, many)]
     assert M.binomial_two_sided.func(few, many).tolist() == pytest.approx(want, rel=1e-9)
+
+
+def test_passages_of_every_language(spark, tmp_path):
+    text = "\n".join(f"Une phrase de taille moyenne avec le mot Zanzibar, numéro {k}." for k in range(60))
+    put(spark, tmp_path, "documents", [(1, text, "fr"), (2, text, None), (3, text, "en")], "doc_id long, text string, lang string")
+    d = put(spark, tmp_path, "benchmark", [(k, "Zanzibar") for k in range(40)], "item_id long, text string")
+    for name in ("bm25_selection", "bm25_regions"):
+        out = QUERIES[name](spark, d)
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2, 3}
+    assert QUERIES["bm25_selection"](spark, d).groupBy("doc_id").count().filter("count = 60").count() == 3
