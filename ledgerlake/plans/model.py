@@ -377,17 +377,17 @@ def page_flags(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     """Percentile intervals of the out-of-fold AUC for cluster and row draws."""
-    return B.interval(B.bootstrap_auc(counts(spark, d), L.FLAGS, 40), ["design"], "auc")
+    return B.interval(B.bootstrap_auc(counts(spark, d), L.FLAGS, 2000), ["design"], "auc")
 
 
 @query()
 def paired_auc_difference(spark, d):
     rows = scores(spark, d).withColumn("other", F.col("claim_id") % 17 + 0.0)
-    return B.interval(B.paired_difference(rows, "y", "score", "other", 40).withColumn("g", F.lit("all")), ["g"], "difference")
+    return B.interval(B.paired_difference(rows, "y", "score", "other", 2000).withColumn("g", F.lit("all")), ["g"], "difference")
 
 
 @query()
 def redrawn_weights(spark, d):
     both = flags_only(spark, d).join(claims(spark, d).filter("not mid").select("claim_id", "y"), "claim_id")
     mixed = {"1": {"1": 0.9, "2": 0.1}, "5": {"5": 0.9, "4": 0.1}}
-    return B.interval(B.redrawn_weights(both, mixed, L.FLAGS, 40), ["flag"], "weight")
+    return B.interval(B.redrawn_weights(both, mixed, L.FLAGS, 2000), ["flag"], "weight")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import text as X
 from ledgerlake.operators import metrics as M
 from ledgerlake.operators import passages as P
+from ledgerlake.operators import resampling as B
 from ledgerlake.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -64,3 +65,10 @@ def test_passages_of_every_language(spark, tmp_path):
         out = QUERIES[name](spark, d)
         assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2, 3}
     assert QUERIES["bm25_selection"](spark, d).groupBy("doc_id").count().filter("count = 60").count() == 3
+
+
+@pytest.mark.parametrize(("name", "rep", "groups"), [("bootstrap_ci", "rep", 2), ("paired_auc_difference", "rep", 1), ("redrawn_weights", "draw", 7)])
+def test_replicates(spark, monkeypatch, name, rep, groups):
+    monkeypatch.setattr(B, "interval", lambda draws, *a: draws)
+    draws = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert draws.count() == 2000 * groups and draws.select(rep).distinct().count() == 2000
