@@ -100,7 +100,10 @@ def anchored(claim, pool, share: float = 0.6) -> Column:
 def char_trigrams(c) -> Column:
     """Distinct three-character substrings; a shorter text is its own."""
     t = squeeze(c)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda k: F.substring(t, k, F.lit(3))))
+    # arrays are zipped, as a lambda that names the text would squeeze it anew for each character
+    each, end = F.filter(F.split(t, ""), lambda x: x != ""), 2**30
+    pairs = F.zip_with(each, F.slice(each, 2, end), lambda x, y: F.concat(x, y))
+    many = F.array_distinct(F.array_compact(F.zip_with(pairs, F.slice(each, 3, end), lambda x, y: F.concat(x, y))))
     return F.when(F.length(t) >= 3, many).otherwise(F.array(t))
 
 
