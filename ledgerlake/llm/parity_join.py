@@ -8,15 +8,16 @@ difference: with P = d + t parts, two similar sets have at least t equal parts (
 
 Sizes are cut into bands such that a similar pair lies in one band or in two neighbours; every document
 sketches itself for its own band and the one below, with that band's d, and documents that have an equal
-part meet.  Parts of at most one shingle say little and would draw chance meetings; t is larger than the number
-of such parts that a document nearly always has, and a document with fewer than t of them leaves them
-out (an equal part with more remains); one with t or more sends them all.  So no similar pair is lost.
+part may meet.  Parts of few shingles, and those that only hold shingles of a passage that many documents share, are
+equal in very many documents.  As t equal parts are certain, a document leaves out the t - 1 parts of a band that most slabs
+have (ties by key): of the t or more that a similar pair has in common, the rarest is among what both keep.  So no
+similar pair is lost, and frequent parts bring no pairs.  t is larger than the number of parts of at most one shingle that a document nearly always has.
 
 Equal sets are one representative from the start.  Documents that meet at a part are compared with the
 part's smallest member, never all with all.  Only members that stay outside the component of that smallest member
 are then compared with the other members of their parts: any two members still apart include such a one.
-A pair is first held against its bit sketches: every shingle flips one of about 8 d bits, so their Hamming distance is at most
-the symmetric difference, and a pair beyond d leaves the join itself.  Every link is then verified by exact intersection of the shingle sets.
+A pair is two ids; it is made distinct first and then held against its bit sketches: every shingle flips one of about 8 d bits, so
+their Hamming distance is at most the symmetric difference.  Every link is verified by exact intersection of the shingle sets.
 
 Defined results: null or empty text, or text without words, has no shingles and no links; text with
 fewer than n words is one shingle; rows of one doc_id are one node; rows without doc_id take no part and
@@ -29,18 +30,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._runs import bits_for, free_name, settle, text_size
+from ._runs import bits_for, free_name, settle, split, text_size, unpack
 from ._text import U, chunked, first_of, mix, windows
-from .suffix_dedup import _BACK_DDL as BACK_DDL
 from .suffix_dedup import _RUN_DDL as RUN_DDL
 from .suffix_dedup import BUCKET_NAMES, SLAB_BYTES
-from .suffix_dedup import _flagged as flagged
-from .suffix_dedup import _in as contains
-from .suffix_dedup import _meet as meet
 from .suffix_dedup import _out_runs as out_runs
 
 
@@ -75,31 +73,27 @@ class Bands:
         return np.searchsorted(np.array(self.edges), sizes, side="right") - 1
 
     def keys(self, starts, shingles):
-        """Keys of each set shingles[starts[k]:starts[k + 1]], and where each set's keys begin."""
+        """Keys of each set shingles[starts[k]:starts[k + 1]], their place (2 k for the own band, 2 k + 1 for the one below), and t of each place."""
         sizes = np.diff(starts)
         own = self.of(sizes)
         doc_of = np.repeat(np.arange(len(sizes)), sizes)
         spread = mix(shingles ^ U(0xA0761D6478BD642F))
-        found, whose = [], []
-        for band in (own, own - 1):
+        filled = mix(shingles)
+        found, whose, slack = [], [], np.ones(2 * len(sizes), np.int64)
+        for lower, band in enumerate((own, own - 1)):
             parts = np.where(band >= 0, np.array(self.parts)[band], 0)
-            slack = np.array(self.slack)[band]
+            slack[lower::2] = np.array(self.slack)[band]
             first = np.concatenate([[0], np.cumsum(parts)])
             live = parts[doc_of] > 0
-            doc, h = doc_of[live], shingles[live]
+            doc = doc_of[live]
             slot = first[doc] + (spread[live] % parts[doc].astype(U)).astype(np.int64)
             word = np.zeros(first[-1], U)
-            np.bitwise_xor.at(word, slot, mix(h))
-            low = np.bincount(slot, minlength=first[-1]) < 2
+            np.bitwise_xor.at(word, slot, filled[live])
             owner = np.repeat(np.arange(len(sizes)), parts)
-            few = np.bincount(owner[low], minlength=len(sizes)) < slack
-            send = ~(low & few[owner])
             part = np.arange(first[-1]) - first[owner]
-            found.append(mix(word ^ mix(part.astype(U) * U(0xE7037ED1A0B428DB) + band[owner].astype(U)))[send])
-            whose.append(owner[send])
-        key, owner = np.concatenate(found), np.concatenate(whose)
-        order = np.argsort(owner, kind="stable")
-        return key[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+            found.append(mix(word ^ mix(part.astype(U) * U(0xE7037ED1A0B428DB) + band[owner].astype(U))))
+            whose.append(2 * owner + lower)
+        return np.concatenate(found), np.concatenate(whose), slack
 
     def sketches(self, starts, shingles, lower: int):
         """Bit sketch of each set for its own band (lower 0) or the one below (1): where each begins, and the 64-bit words."""
@@ -175,11 +169,30 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame
     return some.mapInArrow(run, "id long, shingles array<long>")
 
 
+_BACK_DDL = "slab long, bucket long, often binary"
+
+
+def _often(table: pa.Table) -> pa.Table:
+    """Bucket side: how many slabs have each key, on a logarithmic scale in one byte (0: only this slab), for each slab in the order of its run."""
+    slabs, runs = table["slab"].to_pylist(), [unpack(r) for r in table["run"].to_pylist()]
+    name = np.concatenate(runs)
+    order = np.argsort(name)
+    s = name[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    count = np.diff(np.append(np.flatnonzero(new), len(s)))
+    scale = np.minimum(np.ceil(8 * np.log2(count)), 255).astype(np.uint8)
+    often = np.zeros(len(s), np.uint8)
+    often[order] = scale[np.cumsum(new) - 1]
+    ends = np.cumsum([len(r) for r in runs])
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pa.table({"slab": slabs, "bucket": pa.repeat(table["bucket"][0].as_py(), len(slabs)), "often": pa.array([squeeze(often[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends)], pa.binary())})
+
+
 def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(key, rep): the keys that several documents have, with these documents.
+    """(key, rep, n): the keys that several documents have and that these documents don't leave out, with the documents and their set sizes.
 
     Nearly all keys are of one document, so they are not sent as rows: slabs of documents send buckets sorted runs of their distinct
-    keys, get a bit back for each, and only then give the rows of the shared ones.  A key of a third of all documents
+    keys, get a byte back for each, and only then give the rows of the shared ones.  A key of a third of all documents
     is one entry a slab.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
@@ -189,9 +202,10 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     bits = bits_for(size / 6, BUCKET_NAMES)
 
     def keyed(table):
-        """Keys and their documents, one document of those with equal sets in the slab: the smallest id."""
-        bands, keys, owners = Bands(num, den), [], []
+        """Keys, their documents and set sizes, their places, and t of each place; of documents with equal sets in the slab only the smallest id."""
+        bands, keys, owners, sizes, places, slacks = Bands(num, den), [], [], [], [], []
         found: dict[tuple, int] = {}
+        begun = 0
         order = np.argsort(np.asarray(table["id"]), kind="stable")
         for batch in table.take(pa.array(order)).combine_chunks().to_batches():
             for part, chunk in chunked([batch], "text"):
@@ -200,26 +214,39 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x1D8E4E27C47D124F)), dtype=U)])
                 marks = list(zip(np.diff(starts).tolist(), (total[starts[1:]] - total[starts[:-1]]).tolist()))
                 live = np.array([m[0] > 0 and found.setdefault(m, i) == i for m, i in zip(marks, ids.tolist())], bool)
-                size_ = np.where(live, np.diff(starts), 0)
-                some = np.concatenate([[0], np.cumsum(size_[live])])
-                key, at = bands.keys(some, h[np.repeat(live, np.diff(starts))])
+                count = np.diff(starts)
+                key, place, slack = bands.keys(np.concatenate([[0], np.cumsum(count[live])]), h[np.repeat(live, count)])
                 keys.append(key)
-                owners.append(np.repeat(ids[live], np.diff(at)))
-        return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+                owners.append(ids[live][place >> 1])
+                sizes.append(count[live][place >> 1])
+                places.append(place + begun)
+                slacks.append(slack)
+                begun += len(slack)
+        if not keys:
+            return tuple(np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.concatenate(x) for x in (keys, owners, sizes, places, slacks))
 
     def send(key, table):
         return out_runs(key[0].as_py(), np.unique(keyed(table)[0]), None, bits)
 
     def give(key, table, back):
-        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
-        k, owner = keyed(table)
-        distinct, times = np.unique(k, return_counts=True)
-        shared = np.union1d(flagged(distinct, distinct, back, 0, bits), distinct[times > 1])
-        hit = contains(k, shared)
-        return pa.table([pa.array(k[hit].view(np.int64)), pa.array(owner[hit])], schema=schema)
-
-    back = settle(placed.groupBy("slab").applyInArrow(send, RUN_DDL).groupBy("bucket").applyInArrow(meet(0), BACK_DDL), "shared-keys", free=True)
-    return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long")
+        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+        k, owner, size_, place, slack = keyed(table)
+        distinct, at, times = np.unique(k, return_inverse=True, return_counts=True)
+        reply = dict(zip(back["bucket"].to_pylist(), back["often"].to_pylist()))
+        often = np.zeros(len(distinct), np.uint8)
+        for b, part in split(distinct, bits):
+            often[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(reply[b]), np.uint8)
+        some = np.flatnonzero(((often > 0) | (times > 1))[at])
+        # shared keys of each place, the most frequent first; the others of the place are rarer than all of them
+        some = some[np.lexsort((k[some], 255 - often[at[some]], place[some]))]
+        p = place[some]
+        turn = np.arange(len(p)) - np.searchsorted(p, p)
+        some = some[turn >= slack[p] - 1]
+        return pa.table([pa.array(k[some].view(np.int64)), pa.array(owner[some]), pa.array(size_[some])], schema=schema)
+
+    back = settle(placed.groupBy("slab").applyInArrow(send, RUN_DDL).groupBy("bucket").applyInArrow(_often, _BACK_DDL), "shared-keys", free=True)
+    return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long, n long")
 
 
 def _may_link(a: str, b: str, num: int, den: int):
@@ -231,6 +258,14 @@ def _may_link(a: str, b: str, num: int, den: int):
     return near & (F.lit(den + num) * apart <= F.lit(den - num) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of representatives whose bit sketches leave room for a link."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    marks = settle(nodes.join(wanted, "rep", "left_semi").select("rep", F.struct(F.col("n_shingles").alias("n"), "band", "own", "low").alias("k")), "marks")
+    mark = lambda x: marks.select(F.col("rep").alias(x), F.col("k").alias(f"k{x}"))
+    return pairs.join(mark("a"), "a").join(mark("b"), "b").filter(_may_link("ka", "kb", num, den)).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar by exact intersection."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
@@ -249,13 +284,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = nodes.withColumnRenamed("doc_id", "rep").join(same, ["n_shingles", "set_a", "set_b", "rep"], "left_semi")
     held = settle(shared_keys(docs, id_col, text_col, n, num, den).join(first.select("rep").distinct(), "rep", "left_semi").distinct(), "held", free=True)
     meets = held.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
-    members = settle(held.join(meets, "key").filter("rep > head").distinct(), "members", free=True)
-    marks = settle(first.join(members.select(F.explode(F.array("head", "rep")).alias("rep")).distinct(), "rep", "left_semi").select("rep", F.struct(F.col("n_shingles").alias("n"), "band", "own", "low").alias("k")), "marks")
-    mark = lambda x: marks.select(F.col("rep").alias(x), F.col("k").alias(f"k{x}"))
-    star = members.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct().join(mark("b"), "b")
-    ka = mark("a").withColumnRenamed("a", "a2")
-    star = star.join(ka, (star["a"] == ka["a2"]) & _may_link("ka", "kb", num, den)).select("a", "b").distinct()
-    links = settle(_verified(settle(star, "star"), docs, id_col, text_col, n, num, den), "links")
+    heads = meets.join(held.select("key", F.col("rep").alias("head"), F.col("n").alias("n_head")), ["key", "head"])
+    members = settle(held.join(heads, "key").filter("rep > head").distinct(), "members", free=True)
+    size_fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
+    star = members.filter(size_fits("n", "n_head")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    links = settle(_verified(settle(_near(settle(star, "star"), first, num, den), "near"), docs, id_col, text_col, n, num, den), "links")
     # rows of one doc_id are one node: an id with several sets links their representatives
     ids = nodes.join(same, ["n_shingles", "set_a", "set_b"]).select("doc_id", "rep")
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
@@ -264,13 +297,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = settle(components(links, "a", "b"), "components")
 
     named = lambda df, col, out: df.join(comp.select(F.col("id").alias(col), F.col("component").alias("c")), col, "left").withColumn(out, F.coalesce("c", col)).drop("c")
-    placed = settle(named(named(members, "rep", "rep_in"), "head", "head_in"), "placed")
-    apart = settle(placed.filter("rep_in <> head_in").select("key", "head", F.col("rep").alias("b"), F.col("rep_in").alias("b_in")), "apart")
+    placed = settle(named(named(members.select("key", "head", "rep", "n"), "rep", "rep_in"), "head", "head_in"), "placed")
+    apart = settle(placed.filter("rep_in <> head_in").select("key", F.col("rep").alias("b"), F.col("rep_in").alias("b_in"), F.col("n").alias("nb")), "apart")
     if not apart.isEmpty():
-        others = placed.join(apart.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("key2"), F.col("rep").alias("a"), F.col("rep_in").alias("a_in"))
-        left, right = apart.join(mark("b"), "b"), others.join(mark("a"), "a")
-        pairs = left.join(right, (left["key"] == right["key2"]) & (left["b_in"] != right["a_in"]) & _may_link("ka", "kb", num, den))
-        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        others = placed.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("a"), F.col("rep_in").alias("a_in"), F.col("n").alias("na"))
+        pairs = apart.join(others, "key").filter((F.col("b_in") != F.col("a_in")) & size_fits("na", "nb"))
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", free=True)
+        pairs = settle(_near(pairs, first, num, den), "near", free=True)
         more = settle(_verified(pairs, docs, id_col, text_col, n, num, den), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
