@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 U = np.uint64
 
 
+def distinct(values):
+    """The distinct values, sorted: one sort, which is many times faster here than numpy's hashed unique."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def pack(values) -> bytes:
     """Sorted uint64 values as compressed byte planes of their differences."""
     v = np.asarray(values, U)

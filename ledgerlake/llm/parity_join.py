@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._runs import bits_for, free_name, settle, split, text_size, unpack
+from ._runs import bits_for, distinct, free_name, settle, split, text_size, unpack
 from ._text import U, chunked, first_of, mix, windows
 from .suffix_dedup import _RUN_DDL as RUN_DDL
 from .suffix_dedup import BUCKET_NAMES, SLAB_BYTES
@@ -118,7 +118,7 @@ def shingle_sets(chunk, n: int):
     count = np.bincount(doc, minlength=chunk.n)
     owner = doc[at]
     for m in range(1, n):  # the whole sequence of a text of fewer words
-        few = np.isin(doc, np.flatnonzero(count == m))
+        few = (count == m)[doc]
         hm, am = windows(word[few], doc[few], m)
         h, owner = np.concatenate([h, mix(hm + U(m))]), np.concatenate([owner, doc[few][am]])
     order, new = first_of(owner, h)
@@ -227,15 +227,15 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         return tuple(np.concatenate(x) for x in (keys, owners, sizes, places, slacks))
 
     def send(key, table):
-        return out_runs(key[0].as_py(), np.unique(keyed(table)[0]), None, bits)
+        return out_runs(key[0].as_py(), distinct(keyed(table)[0]), None, bits)
 
     def give(key, table, back):
         schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
         k, owner, size_, place, slack = keyed(table)
-        distinct, at, times = np.unique(k, return_inverse=True, return_counts=True)
+        names, at, times = np.unique(k, return_inverse=True, return_counts=True)
         reply = dict(zip(back["bucket"].to_pylist(), back["often"].to_pylist()))
-        often = np.zeros(len(distinct), np.uint8)
-        for b, part in split(distinct, bits):
+        often = np.zeros(len(names), np.uint8)
+        for b, part in split(names, bits):
             often[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(reply[b]), np.uint8)
         some = np.flatnonzero(((often > 0) | (times > 1))[at])
         # shared keys of each place, the most frequent first; the others of the place are rarer than all of them

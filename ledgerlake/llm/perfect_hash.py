@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 
+from ._runs import distinct
 from ._text import U, mix
 
 GAMMA = 2
@@ -30,7 +31,7 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys) -> PerfectHash:
-        levels, left = [], np.unique(np.asarray(keys, U))
+        levels, left = [], distinct(np.asarray(keys, U))
         while len(left):
             size = max(64, GAMMA * len(left))
             slot = _slot(left, len(levels), size)
