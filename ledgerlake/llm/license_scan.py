@@ -1,14 +1,18 @@
-"""License scan: shingle lookup in overlapping text windows retrieves templates, shingle containment verifies.
+"""License scan: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies.
 
 Texts and templates are lower-cased, cut into words of letters and digits, and hashed as shingles of five words.
-A text is cut into windows of 2 m words that start every m words, m being the longest template, so
-every stretch as long as a template lies whole in one window.  Shingles that no template has are left out first: they
-add nothing to the containment of a template, so nothing is lost, and few windows remain.  A shingle brings all templates
-that have it, so that every template with a shingle in a window is a candidate there, however short it is and whatever else
-the window holds.  Candidates are verified by exact counts: the share of the template's distinct shingles that the window
-has must reach `containment`.
-
-Everything is DataFrame functions.  The template tables have a size that is fixed here, so they are broadcast.
+Templates fall into classes by their number of shingles, each up to half as large again as the one below.  For a class whose largest template has m words
+a text is cut into windows of 2 m words that start every m words, so every stretch as long as a template of the class lies whole
+in one window.  Shingles that no template of the class has are left out first: they add nothing to
+the containment of its templates, so nothing is lost, and few windows remain.
+
+What a window holds of its class is signed by MinHash values, one row a band, and so are the templates; an equal value in one band makes a
+template a candidate.  A window has at most 2 m - 4 shingles, so one that holds the share c of a template of n shingles has a Jaccard
+similarity of at least J = c n / (2 m - 4 + (1 - c) n) with it: 1/6 for templates of one shingle, about 1/4 for others, whatever else is in the text.
+Each class has as many bands as its least J needs for (1 - J)^bands <= `miss`, which is 10^-9 for each window.
+Candidates are verified by exact counts: the share of the template's distinct shingles that the window has must reach `containment`.
+
+Everything is DataFrame functions.  The template tables have a size that is fixed by the templates, so they are broadcast.
 A text with a license that fills the corpus is one row of its own; nothing is grouped by license before counting.
 
 Defined results: null and empty texts, and texts of fewer than five words, hold no license; a document has a row for each
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 CONTAINMENT = 0.8
+MISS = 1e-9
+GROWTH = 1.5
 
 # Public license notices and passages of public license texts.
 TEMPLATES = {
@@ -58,27 +64,41 @@ def _shingled(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     return hashed.select(*key, F.posexplode(runs).alias("at", "shingle"))
 
 
-def templates(spark: SparkSession, texts: dict[tuple[str, str], str] | None = None):
-    """(shingles of templates with their number, length of the longest template in words)."""
+def _signature(shingles, bands):
+    """The least hash of a set of shingles in each band."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, b))))
+
+
+def templates(spark: SparkSession, texts: dict[tuple[str, str], str] | None = None, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
+    """license, part, n (shingles), class, m (words of the class's largest template), bands, shingles."""
     texts = TEMPLATES if texts is None else texts
-    rows = [(lic, part, t) for (lic, part), t in sorted(texts.items())]
-    table = spark.createDataFrame(rows, "license string, part string, text string")
-    distinct = _shingled(table, "text", ["license", "part"]).select("license", "part", "shingle").distinct()
-    sized = distinct.join(distinct.groupBy("license", "part").agg(F.count(F.lit(1)).alias("n")), ["license", "part"])
-    return sized, max((len(t.split()) for _, _, t in rows), default=WORDS) + 20
+    table = spark.createDataFrame([(lic, part, t) for (lic, part), t in sorted(texts.items())], "license string, part string, text string")
+    own = _shingled(table, "text", ["license", "part"]).groupBy("license", "part").agg(F.collect_set("shingle").alias("shingles")).withColumn("n", F.size("shingles"))
+    size = F.ceil(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH)) - 1e-9).cast("int")
+    own = own.withColumn("class", size).withColumn("m", (F.ceil(F.pow(F.lit(GROWTH), "class") - 1e-9) + WORDS - 1).cast("int"))
+    least = F.when(F.col("class") == 0, 1).otherwise(F.floor(F.pow(F.lit(GROWTH), F.col("class") - 1) + 1e-9) + 1)
+    alike = containment * least / (2 * F.col("m") - WORDS + 1 + (1 - containment) * least)
+    return own.withColumn("bands", F.greatest(F.lit(1), F.ceil(F.log(F.lit(miss)) / F.log(1 - alike))).cast("int"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, texts: dict[tuple[str, str], str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, texts: dict[tuple[str, str], str] | None = None, miss: float = MISS) -> DataFrame:
     """doc_id, license, part, windows (that hold it), containment (the greatest), first_word (the template's first in those windows)."""
-    known, m = templates(docs.sparkSession, texts)
+    known = templates(docs.sparkSession, texts, containment, miss)
+    of_class = known.select("class", "m", "bands", F.explode("shingles").alias("shingle")).distinct()
+    signed = known.select("class", "license", "part", "n", "shingles", F.posexplode(_signature(F.col("shingles"), F.col("bands"))).alias("band", "least"))
     thin = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    near = _shingled(thin, "text", ["doc_id"]).join(F.broadcast(known), "shingle")
+    near = _shingled(thin, "text", ["doc_id"]).join(F.broadcast(of_class), "shingle")
     # a shingle at word k lies in the windows that start at m * (k div m) and one before
-    first = F.floor(F.col("at") / m)
-    placed = near.select("doc_id", "license", "part", "n", "at", "shingle", F.explode(F.array_distinct(F.array(first, F.greatest(first - 1, F.lit(0))))).alias("window"))
-    held = placed.groupBy("doc_id", "window", "license", "part", "n", "shingle").agg(F.min("at").alias("at"))
-    counted = held.groupBy("doc_id", "window", "license", "part", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("share"), F.min("at").alias("first_word"))
-    verified = counted.filter(F.col("share") >= containment)
+    first = F.floor(F.col("at") / F.col("m"))
+    placed = near.select("doc_id", "class", "bands", "at", "shingle", F.explode(F.array_distinct(F.array(first, F.greatest(first - 1, F.lit(0))))).alias("window"))
+    held = placed.groupBy("doc_id", "class", "bands", "window", "shingle").agg(F.min("at").alias("at"))
+    held = held.groupBy("doc_id", "class", "bands", "window").agg(F.collect_list(F.struct("shingle", "at")).alias("held"))  # at most the shingles of one window
+    bands = held.select("doc_id", "class", "window", "held", F.posexplode(_signature(F.col("held.shingle"), F.col("bands"))).alias("band", "least"))
+    found = bands.join(F.broadcast(signed), ["class", "band", "least"])
+    found = found.groupBy("doc_id", "class", "window", "license", "part").agg(F.first("held").alias("held"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    both = F.filter("held", lambda x: F.array_contains("shingles", x["shingle"]))
+    verified = found.withColumn("both", both).withColumn("share", F.size("both") / F.col("n")).filter(F.col("share") >= containment)
+    verified = verified.select("doc_id", "license", "part", "share", F.array_min(F.transform("both", lambda x: x["at"])).alias("first_word"))
     return verified.groupBy("doc_id", "license", "part").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("first_word").cast("long").alias("first_word"))
 
 

@@ -11,7 +11,7 @@ Of records with equal payloads of at least `revisit_bytes` bytes, the one with t
 are revisits that refer to it and carry no payload; they lose it before the sort, so copies are never shuffled.
 
 Defined results: null html is an empty payload; rows without page_id come first, and are revisits of a row with
-an id where there is one, and responses where there is none; rows that repeat page_id and payload of a response are responses too; an empty
+an id where there is one, and responses where there is none; very long pages are one record, and a shard of their own where they need it; rows that repeat page_id and payload of a response are responses too; an empty
 table gives an archive of no files; extra columns are ignored.
 """
 
@@ -151,18 +151,39 @@ def typed(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_by
 
 
 def _borders(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """Smallest id of each shard after the first, from exact sums over at most 4096 equal ranges of ids."""
+    """Smallest id of each shard after the first, from exact sums over ranges of ids.
+
+    Ranges that hold more than a shard are cut into eight, as often as it takes, so skewed ids make no large shard.
+    """
     low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     if low is None or (total or 0) <= shard_bytes:
         return []
-    width = -(-(high - low + 1) // 4096)
-    sums = rows.filter("page_id is not null").groupBy(F.expr(f"(page_id - {low}L) div {width}L").alias("k")).agg(F.sum(F.col("size") + 600).alias("b")).orderBy("k").collect()
+    rows = settle(rows.filter("page_id is not null").select("page_id", (F.col("size") + 600).alias("b")), "sizes")
+    width = 1
+    while width * 4096 < high - low + 1:
+        width *= 8
+    # decimals, because the distance of two ids can be beyond a long
+    away = F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    cell = lambda w: F.floor(away / F.lit(w).cast("decimal(20,0)")).cast("long")
+    leaves, heavy = [], None
+    while True:
+        own = rows.withColumn("k", cell(width))
+        if heavy is not None:
+            own = own.join(F.broadcast(heavy), cell(width * 8) == F.col("parent"), "left_semi")  # fewer rows than shards
+        sums = own.groupBy("k").agg(F.sum("b").alias("b")).collect()
+        large = [r.k for r in sums if r.b > shard_bytes and width > 1]
+        known = set(large)
+        leaves += [(low + r.k * width, r.b) for r in sums if r.k not in known]
+        if not large:
+            break
+        heavy = rows.sparkSession.createDataFrame([(k,) for k in large], "parent long")
+        width //= 8
     borders, held = [], 0
-    for r in sums:
-        if held and held + r.b > shard_bytes:
-            borders.append(low + r.k * width)
+    for first, size in sorted(leaves):
+        if held and held + size > shard_bytes:
+            borders.append(first)
             held = 0
-        held += r.b
+        held += size
     return borders
 
 
@@ -182,7 +203,7 @@ def write_archive(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
         return pd.Series(np.searchsorted(edges, ids.fillna(-(2**63)).astype("int64").to_numpy(), side="right").astype(np.int32))
 
     placed = rows.withColumn("shard", shard_of("page_id"))
-    placed = placed.repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url", F.col("html").isNull())
+    placed = placed.repartitionById(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url", F.col("html").isNull())
 
     def write(batches):
         from pyspark import TaskContext

@@ -60,3 +60,18 @@ def test_record_parts():
     assert block.endswith(b"p" * 300_000) and g["WARC-Type"] == "revisit" and g["X-Refers-To-Page"] == "1" and rest.endswith(b"\r\n\r\n")
     with pytest.raises(ValueError):
         list(parse(data[:-3]))
+
+
+def test_borders_of_skewed_ids(spark):
+    """Ids in two far clusters: no shard but one of a single id holds more than its bytes."""
+    from ledgerlake.llm.warc_writer import _borders
+
+    ids = [-(2**63), *range(1000, 1400), 2**62, 2**63 - 1]
+    size = {i: 400 + i % 7 * 100 for i in ids} | {1100: 50_000}
+    df = spark.createDataFrame(list(size.items()), "page_id long, size long")
+    borders = _borders(df, 10_000)
+    assert borders == sorted(set(borders))
+    shards = {}
+    for i in ids:
+        shards.setdefault(sum(b <= i for b in borders), []).append(i)
+    assert len(shards) > 20 and all(len(s) == 1 or sum(size[i] + 600 for i in s) <= 10_000 for s in shards.values())
