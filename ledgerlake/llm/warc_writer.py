@@ -159,25 +159,21 @@ def _borders(rows: DataFrame, shard_bytes: int) -> list[int]:
     if low is None or (total or 0) <= shard_bytes:
         return []
     rows = settle(rows.filter("page_id is not null").select("page_id", (F.col("size") + 600).alias("b")), "sizes")
-    width = 1
-    while width * 4096 < high - low + 1:
-        width *= 8
-    # decimals, because the distance of two ids can be beyond a long
-    away = F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    cell = lambda w: F.floor(away / F.lit(w).cast("decimal(20,0)")).cast("long")
+    shift = 0
+    while (high >> shift) - (low >> shift) >= 4096:
+        shift += 3
     leaves, heavy = [], None
     while True:
-        own = rows.withColumn("k", cell(width))
+        own = rows.withColumn("k", F.shiftright("page_id", shift))
         if heavy is not None:
-            own = own.join(F.broadcast(heavy), cell(width * 8) == F.col("parent"), "left_semi")  # fewer rows than shards
+            own = own.join(F.broadcast(heavy), F.shiftright("k", 3) == F.col("parent"), "left_semi")  # fewer rows than shards
         sums = own.groupBy("k").agg(F.sum("b").alias("b")).collect()
-        large = [r.k for r in sums if r.b > shard_bytes and width > 1]
-        known = set(large)
-        leaves += [(low + r.k * width, r.b) for r in sums if r.k not in known]
+        large = {r.k for r in sums if r.b > shard_bytes and shift}
+        leaves += [(r.k << shift, r.b) for r in sums if r.k not in large]
         if not large:
             break
         heavy = rows.sparkSession.createDataFrame([(k,) for k in large], "parent long")
-        width //= 8
+        shift -= 3
     borders, held = [], 0
     for first, size in sorted(leaves):
         if held and held + size > shard_bytes:
