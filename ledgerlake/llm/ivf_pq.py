@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-The index is fitted on at most `train_rows` vectors, taken in the order of a hash of vec_id: coarse centroids by
-k-means, and a codebook of 256 centroids for each of the sub-vectors that residuals are cut into.  Every vector is then indexed:
-it goes to the list of its nearest centroid and is kept there with the codes of its residual.
-
-A query probes the lists whose centroids have the greatest inner product with it, until the lists hold the wanted share of all
-vectors.  For each probed list the inner product of query and centroid plus table look-ups (asymmetric distances: the query is not quantised)
+The index is fitted on a bounded sample, taken in the order of a hash of vec_id: 20 vectors a list, 20,000 at least and `most_train` at most. It gives
+coarse centroids by k-means, about as many as the root of the number of vectors, and a codebook of 256 centroids for each of the sub-vectors
+that residuals are cut into.  Every vector is then indexed: it goes to the list of its nearest centroid and is kept there with the codes of its residual.
+
+A query probes the lists whose centroids have the greatest inner product with it.  How many is measured and not given: up to 500 vectors of the sample
+look for their nearest in the sample, and the least number of lists that finds the share `recall` of them is probed by all queries, whatever the size of the table.
+Where vectors form clusters that is few lists; where they point everywhere alike, no list can be left out without loss, and it is most of them.
+For each probed list the inner product of query and centroid plus table look-ups (asymmetric distances: the query is not quantised)
 estimate all its members; the best `rerank` of them are scored exactly in double precision on the original
 vectors, and the k best of all lists remain.
 
@@ -157,40 +159,52 @@ def _score_block(quantiser: Quantiser, k: int, rerank: int):
     return score
 
 
-def build_index(vectors: DataFrame, n: int, lists: int | None = None, sub: int = 32, train_rows: int = 20_000):
-    """(quantiser, rows of list, vec_id, vector, codes)."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("vector").toPandas()["vector"]  # bounded by train_rows
+def lists_to_probe(quantiser: Quantiser, x, k: int, recall: float, queries: int = 500) -> int:
+    """The least number of lists that hold the share `recall` of the k nearest of some rows of x among the others."""
+    q = x[:queries]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near, _ = assign(x, quantiser.coarse)
+    best = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : min(k, len(x) - 1)]
+    order = np.argsort(-(q @ quantiser.coarse.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    place[np.arange(len(q))[:, None], order] = np.arange(order.shape[1])
+    found = np.sort(place[np.arange(len(q))[:, None], near[best]].ravel())
+    return int(found[max(0, math.ceil(recall * len(found)) - 1)]) + 1 if len(found) else 1
+
+
+def build_index(vectors: DataFrame, n: int, k: int, recall: float, lists: int | None = None, sub: int = 32, most_train: int = 200_000):
+    """(quantiser, lists to probe, rows of list, vec_id, vector, codes)."""
+    wanted = lists or max(1, int(math.sqrt(n)))
+    train = min(most_train, max(20_000, 20 * wanted))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("vector").toPandas()["vector"]  # bounded by most_train
     x = np.array(sample.tolist(), np.float32)
-    lists = lists or max(1, min(4096, len(x) // 20, int(math.sqrt(n))))
-    quantiser = Quantiser(x, lists, sub)
-    held = vectors.sparkSession.sparkContext.broadcast(quantiser)  # at most 4,096 centroids and sub x 256 code words
+    quantiser = Quantiser(x, min(wanted, max(1, len(x) // 20)), sub)
+    probes = lists_to_probe(quantiser, x, k, recall)
+    held = vectors.sparkSession.sparkContext.broadcast(quantiser)  # at most most_train / 20 centroids and sub x 256 code words
 
     def place(batches):
         for b in batches:
             near, codes = held.value.encode(_matrix(b.column(1), np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(near), b.column(0), b.column(1), pa.array([r.tobytes() for r in codes], pa.binary())], names=["list", "vec_id", "vector", "codes"])
 
-    return quantiser, vectors.select("vec_id", "vector").mapInArrow(place, "list long, vec_id long, vector array<double>, codes binary")
-
+    return quantiser, probes, vectors.select("vec_id", "vector").mapInArrow(place, "list long, vec_id long, vector array<double>, codes binary")
 
-def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, share: float = 0.35, least: int = 2000, rerank: int = 100, lists: int | None = None, sub: int = 32, train_rows: int = 20_000, block_rows: int = 20_000, block_queries: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest of each vector whose id is divisible by `every`.
 
-    A query's lists hold `share` of all vectors at least, and `least` vectors if there are so many.
-    """
+def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.98, rerank: int = 100, lists: int | None = None, sub: int = 32, most_train: int = 200_000, block_rows: int = 20_000, block_queries: int = 4096) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest of each vector whose id is divisible by `every`."""
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = settle(valid_vectors(table, id_col, vector_col), "vectors")
     n = vectors.count()
     if n == 0:
         return empty
-    quantiser, placed = build_index(vectors, n, lists, sub, train_rows)
+    quantiser, probes_of, placed = build_index(vectors, n, k, recall, lists, sub, most_train)
     placed = settle(placed, "index")
     count = np.zeros(len(quantiser.coarse), np.int64)
     for r in placed.groupBy("list").count().collect():  # a row a list
         count[r.list] = r["count"]
     held = spark.sparkContext.broadcast((quantiser, count))
-    want = max(share * n, least)
 
     def probe(batches):
         q, size = held.value
@@ -198,7 +212,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             x = _matrix(b.column(1), np.float32)
             order = np.argsort(-(x @ q.coarse.T), axis=1, kind="stable")
             before = np.cumsum(size[order], axis=1) - size[order]
-            take = (before < want) & (size[order] > 0)
+            filled = size[order] > 0
+            take = filled & ((np.cumsum(filled, axis=1) <= probes_of) | (before <= k))
             row, col = np.nonzero(take)
             yield pa.RecordBatch.from_arrays([pa.array(order[row, col]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["list", "query_id", "vector"])
 

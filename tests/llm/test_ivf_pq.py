@@ -37,15 +37,33 @@ def test_recall(spark, sf):
     assert all(s == pytest.approx(at[q] @ at[i], abs=1e-12) for q, g in got.items() for i, s in g)
 
 
+@pytest.mark.parametrize("spread", [0.3, 100.0])
+def test_recall_of_50000(spark, spread):
+    """At the query's own settings: vectors in clusters, where few lists are probed, and vectors without any."""
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(400, 32))[rnd.integers(0, 400, 50_000)] + spread * rnd.normal(size=(50_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = found(search(df.filter("vec_id % 20 <> 0 or vec_id % 1000 = 0"), every=1000))
+    some = (np.arange(50_000) % 20 != 0) | (np.arange(50_000) % 1000 == 0)
+    assert recall(got, brute(np.flatnonzero(some), x[some].astype(float), every=1000)) >= 0.9
+    if spread < 1:
+        from ledgerlake.llm.ivf_pq import Quantiser, lists_to_probe
+
+        assert lists_to_probe(Quantiser(x[:20_000], 223, 32), x[:20_000], 20, 0.98) < 50
+
+
 def test_hot_vector_blocks_and_norms(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(1500, 12)) * rnd.uniform(0.3, 3, size=(1500, 1))
     x[:500] = x[0]
     df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, codes string")
     want = brute(np.arange(1500), x)
-    got = found(search(df, share=0.6, block_rows=100, block_queries=5, least=100))
+    got = found(search(df, block_rows=100, block_queries=5))
     assert recall(got, want) >= 0.9
-    assert [i for i, _ in found(search(df, share=1.0, rerank=2000))[0]] == [i for i, _ in want[0]]
+    assert [i for i, _ in found(search(df, recall=1.0, lists=1, rerank=2000))[0]] == [i for i, _ in want[0]]
 
 
 def test_edges(spark):
