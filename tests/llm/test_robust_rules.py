@@ -94,10 +94,30 @@ def test_small_groups_and_columns(spark):
     kept = {r.doc_id for r in out.collect()}
     assert 900 not in kept and len(kept) >= 198
     few = R.rate(df.limit(10))
-    assert few.filter("distance is not null or not kept").count() == 0
+    assert few.filter("not kept or distance is null").count() == 0
     assert R.keep_good(df.limit(0)).count() == 0
 
 
+def test_shrinkage(spark):
+    """Each level counts n^2 / (n^2 + prior^2), against the level above."""
+    rnd = random.Random(5)
+    words = lambda k, w: " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(w, w + 4))) for _ in range(k))
+    rows = [(k, words(60, 3), "en", "large", 1, "x") for k in range(120)] + [(500 + k, words(60, 6), "en", "small", 1, "x") for k in range(3)] + [(700, words(60, 3), None, None, 1, "x")]
+    stats = R.statistics(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source")).cache()
+    got = {r.own: r for r in R.model_of(stats, prior=60.0).collect()}
+    assert len(got) == 3
+    x = {r.doc_id: np.array(r.x) for r in stats.select("doc_id", R._vector().alias("x")).collect()}
+    lone = R.fit(spark.createDataFrame([(g, v.tolist()) for i, v in x.items() for g in ("all", "en" if i < 700 else "-", "large" if i < 500 else "small" if i < 700 else "lone")], "group string, x array<double>"))
+    e = {r.group: r for r in lone.collect()}
+    mix = lambda a, b, n: n * n / (n * n + 3600) * np.array(a) + 3600 / (n * n + 3600) * np.array(b)
+    en = mix(e["en"].centre, e["all"].centre, 123)
+    assert np.allclose(got["=en\x1f=small"].centre, mix(e["small"].centre, en, 3)) and np.allclose(got["=en\x1f=large"].centre, mix(e["large"].centre, en, 120))
+    wide = mix(e["all"].cov, np.diag((R.WIDE * np.array(R.FLOOR)) ** 2).ravel(), 124)
+    cov = mix(e["small"].cov, mix(e["en"].cov, wide, 123), 3).reshape(R.P, R.P)
+    assert np.allclose(np.array(got["=en\x1f=small"].inverse).reshape(R.P, R.P), R.scatter_inverse(cov)[0])
+    stats.unpersist()
+
+
 @pytest.mark.parametrize(("p", "want"), [(0.5, 5.348), (0.95, 12.592), (0.999, 22.458)])
 def test_chi_square(p, want):
     assert R.chi2_quantile(p, 6) == pytest.approx(want, abs=2e-3)
