@@ -16,8 +16,9 @@ similar pair is lost, and frequent parts bring no pairs.  t is larger than the n
 Equal sets are one representative from the start.  Documents that meet at a part are compared with the
 part's smallest member, never all with all.  Only members that stay outside the component of that smallest member
 are then compared with the other members of their parts: any two members still apart include such a one.
-A pair is two ids; it is made distinct first and then held against its bit sketches: every shingle flips one of about 8 d bits, so
-their Hamming distance is at most the symmetric difference.  Every link is verified by exact intersection of the shingle sets.
+Pairs are held against bit sketches: every shingle flips one of about 8 d bits, so the Hamming distance of two sketches is at most
+the symmetric difference.  With smallest members that is done when the pairs are distinct; in the second join it is done inside it, with the sketch of the
+part's band beside each member, so that near documents that don't link are tested there and never become rows.  Every link is verified by exact intersection of the shingle sets.
 
 Defined results: null or empty text, or text without words, has no shingles and no links; text with
 fewer than n words is one shingle; rows of one doc_id are one node; rows without doc_id take no part and
@@ -189,7 +190,8 @@ def _often(table: pa.Table) -> pa.Table:
 
 
 def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(key, rep, n): the keys that several documents have and that these documents don't leave out, with the documents and their set sizes.
+    """(key, rep, n, lower): the keys that several documents have and that these documents don't leave out, with the documents, their set
+    sizes, and whether the key's band is the one below their own.
 
     Nearly all keys are of one document, so they are not sent as rows: slabs of documents send buckets sorted runs of their distinct
     keys, get a byte back for each, and only then give the rows of the shared ones.  A key of a third of all documents
@@ -230,7 +232,7 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         return out_runs(key[0].as_py(), distinct(keyed(table)[0]), None, bits)
 
     def give(key, table, back):
-        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("lower", pa.bool_())])
         k, owner, size_, place, slack = keyed(table)
         names, at, times = np.unique(k, return_inverse=True, return_counts=True)
         reply = dict(zip(back["bucket"].to_pylist(), back["often"].to_pylist()))
@@ -243,10 +245,10 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         p = place[some]
         turn = np.arange(len(p)) - np.searchsorted(p, p)
         some = some[turn >= slack[p] - 1]
-        return pa.table([pa.array(k[some].view(np.int64)), pa.array(owner[some]), pa.array(size_[some])], schema=schema)
+        return pa.table([pa.array(k[some].view(np.int64)), pa.array(owner[some]), pa.array(size_[some]), pa.array(place[some] % 2 == 1)], schema=schema)
 
     back = settle(placed.groupBy("slab").applyInArrow(send, RUN_DDL).groupBy("bucket").applyInArrow(_often, _BACK_DDL), "shared-keys", free=True)
-    return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long, n long")
+    return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long, n long, lower boolean")
 
 
 def _may_link(a: str, b: str, num: int, den: int):
@@ -284,7 +286,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = nodes.withColumnRenamed("doc_id", "rep").join(same, ["n_shingles", "set_a", "set_b", "rep"], "left_semi")
     held = settle(shared_keys(docs, id_col, text_col, n, num, den).join(first.select("rep").distinct(), "rep", "left_semi").distinct(), "held", free=True)
     meets = held.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
-    heads = meets.join(held.select("key", F.col("rep").alias("head"), F.col("n").alias("n_head")), ["key", "head"])
+    heads = meets.join(held.select("key", F.col("rep").alias("head"), F.col("n").alias("n_head")).distinct(), ["key", "head"])
     members = settle(held.join(heads, "key").filter("rep > head").distinct(), "members", free=True)
     size_fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
     star = members.filter(size_fits("n", "n_head")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
@@ -297,13 +299,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = settle(components(links, "a", "b"), "components")
 
     named = lambda df, col, out: df.join(comp.select(F.col("id").alias(col), F.col("component").alias("c")), col, "left").withColumn(out, F.coalesce("c", col)).drop("c")
-    placed = settle(named(named(members.select("key", "head", "rep", "n"), "rep", "rep_in"), "head", "head_in"), "placed")
-    apart = settle(placed.filter("rep_in <> head_in").select("key", F.col("rep").alias("b"), F.col("rep_in").alias("b_in"), F.col("n").alias("nb")), "apart")
+    placed = settle(named(named(members.select("key", "head", "rep", "n", "lower"), "rep", "rep_in"), "head", "head_in"), "placed")
+    apart = settle(placed.filter("rep_in <> head_in").select("key", "rep"), "apart")
     if not apart.isEmpty():
-        others = placed.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("a"), F.col("rep_in").alias("a_in"), F.col("n").alias("na"))
-        pairs = apart.join(others, "key").filter((F.col("b_in") != F.col("a_in")) & size_fits("na", "nb"))
+        both = placed.join(apart.select("key").distinct(), "key", "left_semi")
+        marks = first.join(both.select("rep").distinct(), "rep", "left_semi").select("rep", "own", "low")
+        both = settle(both.join(marks, "rep").select("key", "rep", "rep_in", "n", (F.col("rep_in") != F.col("head_in")).alias("apart"), F.when(F.col("lower"), F.col("low")).otherwise(F.col("own")).alias("bits")), "apart-bits", free=True)
+        one = both.filter("apart").select("key", F.col("rep").alias("b"), F.col("rep_in").alias("b_in"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+        other = both.select("key", F.col("rep").alias("a"), F.col("rep_in").alias("a_in"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        fits = (F.col("b_in") != F.col("a_in")) & size_fits("na", "nb") & (F.lit(den + num) * differ <= F.lit(den - num) * (F.col("na") + F.col("nb")))
+        pairs = one.join(other.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & fits)
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", free=True)
-        pairs = settle(_near(pairs, first, num, den), "near", free=True)
         more = settle(_verified(pairs, docs, id_col, text_col, n, num, den), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
