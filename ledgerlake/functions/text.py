@@ -110,8 +110,10 @@ def char_trigrams(c) -> Column:
 def word_shingles(c, n: int = 8, span: int = 5000) -> Column:
     """Distinct runs of n words over the first `span` characters; none for fewer words."""
     w = F.filter(F.split(F.regexp_replace(F.lower(F.substring(_text(c), 1, span)), r"[^a-z0-9_]+", " "), " "), lambda x: x != "")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(w, k, F.lit(n)), " ")))
-    return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+    # the words are bound once, by a lambda over an array of one; a lambda that names the text would split it anew at each place
+    each = lambda ww: F.transform(F.sequence(F.lit(1), F.size(ww) - n + 1), lambda k: F.array_join(F.slice(ww, k, F.lit(n)), " "))
+    empty = F.array().cast("array<string>")
+    return F.element_at(F.transform(F.array(w), lambda ww: F.when(F.size(ww) >= n, F.array_distinct(each(ww))).otherwise(empty)), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

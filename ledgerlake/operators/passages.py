@@ -55,63 +55,54 @@ def bm25_corpus(docs: DataFrame, doc: str, words, query: list[str]) -> DataFrame
     return both.groupBy(F.col("doc").alias(doc)).agg(F.sum(part).alias("bm25"))
 
 
-def grow(sizes: list[int], scores: list[float], budget: int, most: int) -> list[int]:
-    """Places kept: the lede and all scored sentences, widened by one neighbour a round until the budget is full."""
-    n = len(sizes)
-    if sum(sizes) <= budget and n <= most:
-        return list(range(n))
-    anchors = [i for i in range(n) if scores[i] > 0]
-    keep, radius = set(range(min(3, n))) | set(anchors), 0
-    while sum(sizes[i] for i in keep) < budget and len(keep) < min(most, n):
-        radius += 1
-        more = keep | {j for a in anchors for j in (a - radius, a + radius) if 0 <= j < n}
-        if more == keep:
-            more = keep | {min((j for j in range(n) if j not in keep), key=lambda j: (-scores[j], j))}
-        keep = more
-    out, used = [], 0
-    for j in sorted(keep):
-        if used + sizes[j] > budget or len(out) >= most:
-            break
-        out.append(j)
-        used += sizes[j]
-    return out
-
-
-def tiles(sizes: list[int], scores: list[float], width: int, top: int) -> list[tuple[int, int]]:
-    """The `top` stretches of at most `width` characters with the greatest mass, in the order of the page."""
-    found, i = [], 0
-    while i < len(sizes):
-        j, used = i, 0
-        while j < len(sizes) and used + sizes[j] <= width:
-            used += sizes[j]
-            j += 1
-        j = max(j, i + 1)
-        found.append((i, j, sum(scores[i:j])))
-        i = j
-    return sorted((a, b) for a, b, _ in sorted(found, key=lambda r: -r[2])[:top])
-
-
-def selected_sentences(scored: DataFrame, page: str, pos: str, sentence: str, budget: int = 8000, most: int = 120) -> DataFrame:
-    """(page, pos) of the sentences that a reader gets; a page is one group of bounded text."""
+def selected_sentences(scored: DataFrame, page: str, pos: str, sentence: str, budget: int = 8000, most: int = 120, lede: int = 3) -> DataFrame:
+    """(page, pos) of the sentences that a reader gets.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        at = grow(pdf[sentence].str.len().tolist(), pdf["bm25"].tolist(), budget, most)
-        return pdf.iloc[at][[page, pos]]
-
-    return scored.groupBy(page).applyInPandas(pick, scored.select(page, pos).schema)
+    A page within the limits is taken whole.  Else the lede and all scored sentences, then rings around the scored ones, each a sentence
+    further away (in page order where nothing is scored), as long as what is inside a ring leaves room; what was taken is cut at the limits in page order.
+    """
+    in_order = Window.partitionBy(page).orderBy(pos)
+    size, hit = F.length(sentence), F.when(F.col("bm25") > 0, F.col(pos))
+    before = F.last(hit, True).over(in_order)
+    after = F.first(hit, True).over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    away = F.coalesce(F.least(F.col(pos) - before, after - F.col(pos)), F.col(pos))
+    rows = scored.select(page, pos, size.alias("__size"), F.when(F.col(pos) < lede, 0).otherwise(away).alias("__ring"))
+    whole, inside = Window.partitionBy(page), Window.partitionBy(page).orderBy("__ring").rangeBetween(Window.unboundedPreceding, -1)
+    fits = (F.sum("__size").over(whole) <= budget) & (F.count(F.lit(1)).over(whole) <= most)
+    room = (F.coalesce(F.sum("__size").over(inside), F.lit(0)) < budget) & (F.count(F.lit(1)).over(inside) < most)
+    taken = rows.withColumn("__fits", fits).withColumn("__room", room).filter(F.col("__fits") | F.col("__room"))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    cut = taken.withColumn("__used", F.sum("__size").over(upto)).withColumn("__n", F.count(F.lit(1)).over(upto))
+    return cut.filter((F.col("__used") <= budget) & (F.col("__n") <= most)).select(page, pos)
+
+
+def region_starts(sizes, width: int):
+    """Where stretches of at most `width` characters begin when each takes what fits; a longer sentence is one of its own."""
+    ends = np.cumsum(sizes)
+    starts, at = [], 0
+    while at < len(ends):
+        starts.append(at)
+        gone = ends[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, gone + width, side="right")))
+    return np.array(starts, int)
 
 
 def selected_regions(scored: DataFrame, page: str, pos: str, sentence: str, width: int = 8000, top: int = 3) -> DataFrame:
     """(page, first, last) of the regions with the greatest BM25 mass, last exclusive."""
-    schema = T.StructType([scored.schema[page], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    kind = scored.schema[page].dataType.simpleString()
+    thin = scored.select(page, pos, F.length(sentence).alias("__size"))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:  # a page's sentence lengths, without its text
         pdf = pdf.sort_values(pos)
-        at = tiles(pdf[sentence].str.len().tolist(), pdf["bm25"].tolist(), width, top)
-        return pd.DataFrame({page: pdf[page].iloc[0], "first": [a for a, _ in at], "last": [b for _, b in at]})
+        first = region_starts(pdf["__size"].to_numpy(), width)
+        return pd.DataFrame({page: pdf[page].iloc[0], "first": first, "last": np.append(first[1:], len(pdf))})
 
-    return scored.groupBy(page).applyInPandas(pick, schema)
+    regions = thin.groupBy(page).applyInPandas(mark, f"`{page}` {kind}, first int, last int")
+    own = scored.select(F.col(page).alias("__page"), F.col(pos).alias("__pos"), "bm25")
+    inside = (F.col("__page") == F.col(page)) & (F.col("__pos") >= F.col("first")) & (F.col("__pos") < F.col("last"))
+    mass = regions.join(own, inside).groupBy(page, "first", "last").agg(F.sum("bm25").alias("__mass"))
+    place = F.row_number().over(Window.partitionBy(page).orderBy(F.desc(F.round("__mass", 9)), "first"))
+    return mass.withColumn("__place", place).filter(F.col("__place") <= top).select(page, "first", "last")
 
 
 @F.pandas_udf(T.StringType())
@@ -136,35 +127,29 @@ def _terms(s: str) -> set:
     return {w for w in re.findall(r"[a-z0-9][a-z0-9'\-]*", s.lower()) if len(w) > 2 and w not in X.STOPWORDS}
 
 
-def block_places(sents: list[str], words: set, budget: int, lede: int = 8, around: int = 2) -> list[int]:
-    """Numbers (from 1) of the sentences of a numbered block of at most `budget` characters.
+def block_mask(text_sizes, hits, budget: int, lede: int = 8, around: int = 2, frame: int = 8):
+    """Which sentences a block of at most `budget` characters shows; each costs `frame` more than its text.
 
-    What fits is taken whole.  Else the lede, within a quarter of the budget, then the sentences with most of the words with their
-    neighbours; what does not fit is passed over and a later one may.
+    hits: shared terms of each sentence, or None without terms.  What fits is taken whole.  Else the lede within a quarter of the
+    budget, and each sentence with hits, most hits and latest first, with its neighbours where all that is missing of them still fits.
     """
-    cost = [len(s) + 8 for s in sents]
-    if sum(cost) <= budget or not words:
-        out, used = [], 0
-        for i, s in enumerate(sents, 1):
-            if out and used + len(s) > budget:
-                break
-            out.append(i)
-            used += cost[i - 1]
-        return out
-    keep, used = set(), 0
-    for i in range(1, min(lede, len(sents)) + 1):
-        if used + cost[i - 1] > budget // 4:
-            break
-        keep.add(i)
-        used += cost[i - 1]
-    hits = [(len(words & _terms(s)), i) for i, s in enumerate(sents, 1)]
-    for h, i in sorted(hits, reverse=True):
-        new = [j for j in range(max(1, i - around), min(len(sents), i + around) + 1) if j not in keep]
-        price = sum(cost[j - 1] for j in new)
-        if h and used + price <= budget:
-            keep.update(new)
-            used += price
-    return sorted(keep)
+    size = np.asarray(text_sizes, np.int64)
+    cost = size + frame
+    if hits is None or cost.sum() <= budget:
+        over = np.cumsum(cost) - frame > budget
+        over[:1] = False
+        return ~np.maximum.accumulate(over) if len(over) else over
+    shown = np.zeros(len(size), bool)
+    shown[:lede] = np.cumsum(cost[:lede]) <= budget // 4
+    left = budget - cost[shown].sum()
+    order = np.lexsort((-np.arange(len(size)), -np.asarray(hits)))
+    for at in order[: np.count_nonzero(hits)]:
+        near = slice(max(0, at - around), at + around + 1)
+        missing = np.where(shown[near], 0, cost[near]).sum()
+        if missing <= left:
+            shown[near] = True
+            left -= missing
+    return shown
 
 
 @F.pandas_udf(T.StringType())
@@ -172,13 +157,12 @@ def numbered_block(sents: pd.Series, words: pd.Series, tokens: pd.Series) -> pd.
     """Numbered sentences for a reader, four characters a token; gaps are marked [...]."""
 
     def show(s, w, t):
-        s, out, last = list(s if s is not None else ()), [], 0
-        for i in block_places(s, set(w if w is not None else ()), int(t) * 4):
-            if last and i > last + 1:
-                out.append("[...]")
-            out.append(f"[S{i}] {s[i - 1]}")
-            last = i
-        return "\n".join(out)
+        if s is None or not len(s):
+            return ""
+        want = set(w) if w is not None else set()
+        at = np.flatnonzero(block_mask([len(x) for x in s], [len(want & _terms(x)) for x in s] if want else None, int(t) * 4))
+        gap = np.diff(at, prepend=at[:1]) > 1
+        return "\n".join(f"{'[...]' + chr(10) if g else ''}[S{k + 1}] {s[k]}" for k, g in zip(at, gap))
 
     return pd.Series([show(*x) for x in zip(sents, words, tokens)])
 

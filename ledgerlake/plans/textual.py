@@ -143,7 +143,7 @@ def norm_url(spark, d):
 @query("""
     WITH u AS (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^(www|m|amp)\\.', '') AS h,
       lower(regexp_replace(regexp_replace(url_decode(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/(amp|amp\\.html)$', ''), '/+$', '')) AS p,
-      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_.*|fbclid|gclid|ref|ref_src|igshid|mc_cid|mc_eid)='))), '&') AS q FROM pages)
+      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|source|_ga|igshid|s|amp|__twitter.*|cmpid|ncid|smid|partner|sh|share|via|feature|si)=', 'i'))), '&') AS q FROM pages)
     SELECT page_id, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS review FROM u""")
 def review_url(spark, d):
     return table(spark, d, "pages").select("page_id", N.review_url("url").alias("review"))

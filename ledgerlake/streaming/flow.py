@@ -48,7 +48,7 @@ def breaker_step(state: tuple, ok: bool, t: float, window: int = 30, least: int
     if mode == "open" and t - opened >= rest:
         mode = "half"
     if mode == "half":
-        return ("closed", [True], opened) if ok else ("open", [], t)
+        return ("closed", [], opened) if ok else ("open", [], t)
     if mode == "open":
         return mode, recent, opened
     recent = [*recent, ok][-window:]
@@ -57,16 +57,24 @@ def breaker_step(state: tuple, ok: bool, t: float, window: int = 30, least: int
     return "closed", recent, opened
 
 
-def gate_step(state: tuple, t: float, limited: bool, ceiling: float = 100.0, floor: float = 4.0, span: float = 60.0, worst: float = 0.05) -> tuple:
-    """Next (allowed, attempts of the last `span` seconds, last change): cut by a fifth while too many attempts were limited, else recover by a tenth."""
-    allowed, tries, changed = state
-    tries = [x for x in tries if t - x[0] < span] + [(t, limited)]
-    rate = sum(x[1] for x in tries) / len(tries)
-    if rate > worst and t - changed >= 1.0:
-        return max(floor, allowed * 0.8), tries, t
-    if rate <= worst and t - changed >= span / 4:
-        return min(ceiling, allowed * 1.1), tries, t
-    return allowed, tries, changed
+GATE_START = (160.0, [], None, None)
+
+
+def gate_step(state: tuple, t: float, limited: bool, ceiling: float = 200.0, floor: float = 32.0, span: float = 60.0, worst: float = 0.05, least: int = 20, calm: float = 30.0) -> tuple:
+    """Next (allowed, attempts of the last `span` seconds, last change, last cut) of a gate after one attempt.
+
+    Cut by a fifth where more than the share `worst` of at least `least` attempts was limited, at most once in half a span, and the attempts start anew;
+    grow by a tenth after `calm` seconds without a change, unless that many attempts say otherwise.
+    """
+    allowed, tries, changed, cut = state
+    changed = t if changed is None else changed
+    tries = [*(x for x in tries if t - x[0] <= span), (t, limited)]
+    known, rate = len(tries) >= least, sum(x[1] for x in tries) / len(tries)
+    if known and rate > worst and allowed > floor and (cut is None or t - cut >= span / 2):
+        return max(floor, allowed * 0.8), [], t, t
+    if allowed < ceiling and t - changed >= calm and not (known and rate > worst):
+        return min(ceiling, allowed * 1.1), tries, t, cut
+    return allowed, tries, changed, cut
 
 
 def breaker(events: DataFrame, key: str = "key", ok: str = "ok", time: str = "ts", seq: str = "event_id") -> DataFrame:
@@ -103,7 +111,7 @@ def gate_batch(events: DataFrame, key: str, limited: str, time: str, seq: str) -
     """(key, event_id, allowed) of the rate gate after each attempt."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = (100.0, [], 0.0), []
+        now, out = GATE_START, []
         for k, t, x, s in pdf.sort_values([time, seq])[[key, time, limited, seq]].itertuples(index=False):
             now = gate_step(now, t.timestamp(), bool(x))
             out.append((k, s, now[0]))

@@ -76,3 +76,14 @@ def test_text(spark):
 def test_snowflake(spark):
     df = spark.createDataFrame([(1212092628029698048,)], "i long")
     assert df.select(X.snowflake_time("i").cast("string")).first()[0].startswith("2019-12-31")
+
+
+def test_hosts_by_hand(spark):
+    from ledgerlake.functions import urls as U
+
+    hand = {"snopes.com": (False, True, True), "www.politifact.com": (False, True, True), "afp.com": (False, True, False), "factuel.afp.com": (False, True, True), "iaea.org": (True, False, False), "link.springer.com": (True, False, False), "example.com": (False, False, False)}
+    df = spark.createDataFrame([(d,) for d in hand], "d string")
+    got = {r.d: (r.a, r.b, r.c) for r in df.select("d", U.is_primary("d").alias("a"), U.is_fact_checker("d").alias("b"), U.is_trusted_checker("d").alias("c")).collect()}
+    assert got == hand
+    row = spark.range(1).select(U.review_url(F.lit("https://m.site.org/a/?via=x&id=7&cmpid=1&SMID=2")).alias("r"), U.post_url(F.lit("https://fb.com/p?id=1&__tn__=R&_rdr=1")).alias("p"), X.word_shingles(F.lit("a b c d e f g h i")).alias("s"), X.word_shingles(F.lit("a b")).alias("n")).first()
+    assert row.r == "site.org/a?id=7" and row.p == "https://fb.com/p?id=1" and row.s == ["a b c d e f g h", "b c d e f g h i"] and row.n == []

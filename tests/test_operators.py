@@ -108,12 +108,27 @@ def test_clusters_cited_together(spark):
 
 
 def test_passages():
-    assert P.grow([10] * 6, [0, 0, 0, 0, 1, 0], 40, 99) == [0, 1, 2, 4]
-    assert P.tiles([5, 5, 5, 5], [0, 1, 0, 3], 10, 1) == [(2, 4)]
-    assert P.block_places(["a" * 50, "key word", "b" * 60, "c" * 60], {"key"}, 90, lede=1, around=0) == [2]
+    assert P.region_starts([5, 5, 5, 5], 10).tolist() == [0, 2] and P.region_starts([50, 5, 5], 10).tolist() == [0, 1] and P.region_starts([], 10).tolist() == []
+    assert np.flatnonzero(P.block_mask([50, 8, 60, 60], [0, 1, 0, 0], 90, lede=1, around=0)).tolist() == [1]
+    assert np.flatnonzero(P.block_mask([10] * 6, [0, 0, 0, 2, 0, 1], 72, lede=1, around=1)).tolist() == [0, 2, 3, 4]
+    assert P.block_mask([10] * 6, None, 40).tolist() == [True] * 2 + [False] * 4 and P.block_mask([], None, 9).tolist() == []
     assert P.mmr([1.0, 0.99, 0.1], [[1, 0], [1, 0], [0, 1]], 2, 0.5) == [0, 2]
 
 
+def test_sentences_of_a_page(spark):
+    def got(scores, sizes, **kw):
+        df = spark.createDataFrame([(1, k, "x" * n, float(v)) for k, (v, n) in enumerate(zip(scores, sizes))], "p long, pos int, s string, bm25 double")
+        return sorted(r.pos for r in P.selected_sentences(df, "p", "pos", "s", **kw).collect())
+
+    assert got([0, 0, 0, 0, 1, 0], [10] * 6, budget=40) == [0, 1, 2, 4]
+    assert got([0] * 6, [10] * 6, budget=60, most=6) == [0, 1, 2, 3, 4, 5]
+    assert got([0] * 8, [10] * 8, budget=45) == [0, 1, 2, 3]
+    assert got([0] * 9 + [1], [10] * 10, budget=55) == [0, 1, 2, 7, 8]  # the second ring is taken whole, then the cut is in page order
+    assert got([0] * 9 + [1], [10] * 10, most=4) == [0, 1, 2, 9]
+    regions = spark.createDataFrame([(1, k, "x" * 5, float(v)) for k, v in enumerate([0, 1, 0, 3])], "p long, pos int, s string, bm25 double")
+    assert [tuple(r) for r in P.selected_regions(regions, "p", "pos", "s", width=10, top=1).collect()] == [(1, 2, 4)]
+
+
 def test_ledger(spark):
     base = {"claim_id": 1, "claim": "bridges fall", "claim_type": "assertion", "stance": "supports", "rel": "RELIABLE", "ng": 70.0, "domain": "a.com", "text": "bridges fall", "opinion": False, "republication": False, "snippet_only": False}
     cases = {1: [{"ng": 95.0}], 2: [{}, {"domain": "b.com"}], 3: [{}, {"domain": "x.a.com"}], 4: [{"snippet_only": True, "ng": 95.0}], 5: [{}, {"snippet_only": True, "ng": 95.0, "domain": "b.com"}], 6: [{"stance": "partially-supports", "ng": 95.0}], 7: [{"ng": 95.0, "opinion": True}]}

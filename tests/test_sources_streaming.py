@@ -1,3 +1,4 @@
+import pytest
 """Readers, writers, stores and streams on temporary folders."""
 
 import json
@@ -97,13 +98,28 @@ def test_breaker_stream_equals_batch(spark, tmp_path):
 
 
 def test_gate_steps():
-    s = (100.0, [], 0.0)
-    for k in range(5):
-        s = W.gate_step(s, 10.0 + 2 * k, True)
-    assert s[0] < 50
-    for k in range(20):
-        s = W.gate_step(s, 100.0 + 20 * k, False)
-    assert s[0] == 100.0
+    s = W.GATE_START
+    for k in range(19):
+        s = W.gate_step(s, 10.0 + k / 10, True)
+    assert s[0] == 160.0  # too few attempts to say anything
+    s = W.gate_step(s, 12.0, True)
+    assert s == (128.0, [], 12.0, 12.0)
+    for k in range(25):
+        s = W.gate_step(s, 13.0 + k / 10, True)
+    assert s[0] == 128.0  # one cut in half a span
+    s = W.gate_step(s, 42.0, True)
+    assert s[0] == pytest.approx(102.4)
+    for k in range(40):
+        s = W.gate_step(s, 60.0 + 31 * k, False)
+    assert s[0] == 200.0
+
+
+def test_breaker_starts_anew_after_a_good_probe():
+    s = ("closed", [], 0.0)
+    for k in range(10):
+        s = W.breaker_step(s, False, float(k))
+    assert s == ("open", [], 9.0)
+    assert W.breaker_step(s, True, 39.0) == ("closed", [], 9.0) and W.breaker_step(s, False, 39.0) == ("open", [], 39.0)
 
 
 def test_land_and_upsert(spark, tmp_path):
