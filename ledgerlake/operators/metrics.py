@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .clustering import _cut as cut
+
 
 def confusion(rows: DataFrame, gold: str, pred: str, classes: list) -> DataFrame:
     """(gold, pred, n) over the complete grid of classes, zeros included."""
@@ -100,23 +102,38 @@ def reader_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("exact"), F.count_if(side(a) == side(b)).alias("polarity"), F.count_if(side(a) * side(b) == -1).alias("inversions"))
 
 
+def places(values: DataFrame, col: str) -> DataFrame:
+    """(value, m, below, n): of each distinct value its rows, the rows before it and all rows; nulls come first.
+
+    Counted by value, then dealt by range: the order is made within ranges, and only a row a range meets in one window.
+    """
+    per = values.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("m"))
+    # written, as the ranges are drawn from a sample and must be the same for both readers
+    held = cut(per.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    part = held.groupBy("part").agg(F.min("value").alias("first"), F.sum("m").alias("rows"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = part.select("part", before(Window.orderBy("first"), "rows").alias("start"), F.sum("rows").over(Window.partitionBy()).alias("n"))
+    inner = held.withColumn("inner", before(Window.partitionBy("part").orderBy("value"), "m"))
+    return inner.join(starts, "part").select("value", "m", (F.col("start") + F.col("inner")).alias("below"), "n")
+
+
 def index_quantile(values: DataFrame, col: str, p: float) -> DataFrame:
     """(n, value): the element at floor(n p) in order, without interpolation; the smallest index past the end is the last."""
-    order = Window.orderBy(col)
-    ranked = values.filter(F.col(col).isNotNull()).select(F.col(col).alias("value"), (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return ranked.filter(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select("n", "value")
+    ranked = places(values.filter(F.col(col).isNotNull()), col)
+    at = F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    return ranked.filter((F.col("below") <= at) & (at < F.col("below") + F.col("m"))).select("n", "value")
 
 
 def quantiles_exclusive(values: DataFrame, col: str, parts: int) -> DataFrame:
     """(k, value): the parts - 1 cut points of the exclusive method, interpolated between (n + 1) k / parts places."""
-    order = Window.orderBy(col)
-    ranked = values.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("value"), F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    ranked = places(values.filter(F.col(col).isNotNull()), col)
     cuts = ranked.select("*", F.explode(F.array(*[F.lit(k) for k in range(1, parts)])).alias("k"))
     at = F.col("k") * (F.col("n") + 1)
     j = F.greatest(F.lit(1), F.least(F.floor(at / parts), F.col("n") - 1))
     delta = at - j * parts
-    part = F.when(F.col("i") == j, F.col("value") * (parts - delta) / parts).when(F.col("i") == j + 1, F.col("value") * delta / parts)
-    return cuts.groupBy("k").agg(F.sum(part).alias("value"))
+    holds = lambda i: (F.col("below") < i) & (i <= F.col("below") + F.col("m"))
+    share = F.when(holds(j), parts - delta).otherwise(0) + F.when(holds(j + 1), delta).otherwise(0)
+    return cuts.filter(holds(j) | holds(j + 1)).groupBy("k").agg((F.sum(F.col("value").cast("double") * share) / parts).alias("value"))
 
 
 def expected_calibration_error(rows: DataFrame, confidence: str, right: str, bins: int = 10) -> DataFrame:
@@ -126,15 +143,16 @@ def expected_calibration_error(rows: DataFrame, confidence: str, right: str, bin
     return per.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"))
 
 
-def average_rank(col: str, by: tuple[str, ...] = ()) -> Column:
-    """Rank with ties at their mean."""
-    order, tie = Window.partitionBy(*by).orderBy(col), Window.partitionBy(*by, col)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(tie) - 1) / 2
-
-
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, rho): correlation of average ranks."""
-    return rows.select(average_rank(a).alias("ra"), average_rank(b).alias("rb")).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    """(n, rho): correlation of average ranks, ties at their mean."""
+    cells = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # ranks from their mean, (n + 1) / 2
+    rank = lambda col, x, r: places(rows, col).select(F.col("value").alias(x), (F.col("below") + F.col("m") / 2 - F.col("n") / 2).alias(r))
+    ra, rb = rank(a, "va", "ra"), rank(b, "vb", "rb")
+    both = cells.join(ra, F.col("a").eqNullSafe(F.col("va"))).join(rb, F.col("b").eqNullSafe(F.col("vb")))
+    s = both.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("c") * F.col("ra") * F.col("rb")).alias("xy"), F.sum(F.col("c") * F.col("ra") ** 2).alias("xx"), F.sum(F.col("c") * F.col("rb") ** 2).alias("yy"))
+    size = F.sqrt("xx") * F.sqrt("yy")
+    return s.select("n", F.when(size > 0, F.col("xy") / size).alias("rho"))
 
 
 def histogram(rows: DataFrame, col: str, bins: int = 10) -> DataFrame:

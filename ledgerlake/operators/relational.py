@@ -90,15 +90,16 @@ def best_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_
     greatest of those; claim_mismatch: candidates, none near; no_key_match: none.  Only the first three name a right_id.
     """
     a = left.select(F.col(left_id).alias("a"), F.col(key).alias("k"), F.col(left_text).alias("ta"))
-    b = right.select(F.col(right_id).alias("b"), F.col(key).alias("k"), F.col(right_text).alias("tb"))
-    pairs = a.filter("k is not null").join(b, "k").select("a", "b", (F.col("ta") == F.col("tb")).alias("same"), F.round(X.jaccard(X.tokens("ta"), X.tokens("tb")), 9).alias("j"))
-    w = Window.partitionBy("a")
-    best = w.orderBy(F.desc("same"), F.desc("j"), "b")
-    ranked = pairs.select("*", F.row_number().over(best).alias("turn"), F.count_if(F.col("same")).over(w).alias("n_same"), F.max("j").over(w).alias("top"))
-    tied = F.count_if((F.col("j") == F.col("top"))).over(w)
-    top = ranked.withColumn("tied", tied).filter("turn = 1")
+    # copies of a text are one row on either side, so that a group of them is compared once
+    texts = a.filter("k is not null").select("k", "ta").distinct()
+    b = right.groupBy(F.col(key).alias("k"), F.col(right_text).alias("tb")).agg(F.min(right_id).alias("b"), F.count(F.lit(1)).alias("n"))
+    pairs = texts.join(b, "k").select("k", "ta", "b", "n", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)).alias("same"), F.round(X.jaccard(X.tokens("ta"), X.tokens("tb")), 9).alias("j"))
+    w = Window.partitionBy("k", "ta")
+    ranked = pairs.select("*", F.row_number().over(w.orderBy(F.desc("same"), F.desc("j"), "b")).alias("turn"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).over(w).alias("n_same"), F.max("j").over(w).alias("top"))
+    tied = F.sum(F.when(F.col("j") == F.col("top"), F.col("n")).otherwise(0)).over(w)
+    top = ranked.withColumn("tied", tied).filter("turn = 1").select(F.col("k").alias("tk"), F.col("ta").alias("tt"), "b", "j", "n_same", "tied")
     status = F.when(F.col("b").isNull(), "no_key_match").when(F.col("n_same") > 1, "exact_multiclaim").when(F.col("n_same") == 1, "exact").when(F.col("j") < near, "claim_mismatch").when(F.col("tied") > 1, "ambiguous").otherwise("near")
-    out = a.select("a").join(top, "a", "left").withColumn("status", status)
+    out = a.join(top, (F.col("k") == F.col("tk")) & F.col("ta").eqNullSafe(F.col("tt")), "left").withColumn("status", status)
     good = F.col("status").isin("exact", "exact_multiclaim", "near")
     return out.select(F.col("a").alias(left_id), F.when(good, F.col("b")).alias(right_id), F.col("j").alias("jaccard"), "status")
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +48,12 @@ def cosine_components(df: DataFrame, block: str, item: str, vector: str, least:
     """(item, component, is_medoid): the medoid has the greatest sum of similarities in its component."""
     comp = components(similar_within(df, block, item, vector, least))
     rows = df.join(comp.withColumnRenamed("id", item), item, "left").withColumn("component", F.coalesce("component", item))
-    pairs = rows.select("component", F.col(item).alias("a"), F.col(vector).alias("va")).join(rows.select("component", F.col(item).alias("b"), F.col(vector).alias("vb")), "component")
-    total = pairs.groupBy("component", "a").agg(F.round(F.sum(cosine(F.col("va"), F.col("vb"))), 6).alias("t"))
+    # cosines to all members sum to one product with the sum of their unit vectors
+    size = F.sqrt(dot(F.col(vector), F.col(vector)))
+    unit = F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size))
+    unit = rows.select("component", F.col(item).alias("a"), unit.alias("u"))
+    sums = unit.filter("u is not null").groupBy("component").agg(Summarizer.sum(array_to_vector("u")).alias("s"))
+    total = unit.join(sums.select("component", vector_to_array("s").alias("s")), "component", "left").select("component", "a", F.round(dot(F.col("u"), F.col("s")), 6).alias("t"))
     best = total.groupBy("component").agg(F.max_by("a", F.struct(F.col("t"), -F.col("a"))).alias("medoid"))
     return rows.join(best, "component").select(item, "component", (F.col(item) == F.col("medoid")).alias("is_medoid"))
 

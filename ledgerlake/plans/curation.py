@@ -494,9 +494,9 @@ def snowflake_time(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_millis(X.snowflake_time(F.col("event_id") * 4194304 * 1000 + 7)).alias("ms"))
 
 
-@query("SELECT sha256(url) AS page_key, url, text FROM (SELECT url, first(left(html, 50) ORDER BY page_id) AS text FROM pages GROUP BY url)")
+@query("SELECT sha256(url) AS page_key, url, text FROM (SELECT url, first(html ORDER BY page_id) AS text FROM pages GROUP BY url)")
 def page_store(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", F.substring("html", 1, 50).alias("text"))
+    p = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("text"))
     return I.page_store(p, "url", "text", "page_id")
 
 

@@ -54,9 +54,11 @@ def redundant_queries(spark, d):
     return c.select("conv_id", "turn", X.redundant_query("text", F.collect_list("text").over(w)).alias("redundant"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda k: substr(t, k, 3)))) AS n FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) < 3000)")
+@query("""
+    WITH c AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '') AS c FROM documents)
+    SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(c) - 1, 2)), lambda k: concat(c[k], c[k + 1], c[k + 2])))) AS n FROM c""")
 def trigrams(spark, d):
-    return _docs(spark, d).filter("length(text) < 3000").select("doc_id", F.size(X.char_trigrams("text")).cast("long").alias("n"))
+    return _docs(spark, d).select("doc_id", F.size(X.char_trigrams("text")).cast("long").alias("n"))
 
 
 @query("""
@@ -73,10 +75,10 @@ def latin_ratio(spark, d):
     return _docs(spark, d).select("doc_id", F.round(X.latin_ratio("text"), 6).alias("ratio"))
 
 
-@query(f"SELECT doc_id, len(list_intersect({_TOKENS.format('text')}, ['the', 'of', 'and', 'le', 'la', 'des'])) >= 2 AND length(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôùûüœæÀÂÇÉÈÊËÎÏÔÙÛÜŒÆ]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS ok FROM documents WHERE regexp_matches(text, '\\p{{L}}')")
+@query(f"SELECT doc_id, len(list_intersect({_TOKENS.format('text')}, ['the', 'of', 'and', 'le', 'la', 'des'])) >= 2 AND length(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôùûüœæÀÂÇÉÈÊËÎÏÔÙÛÜŒÆ]', '', 'g')) >= 0.9 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AND regexp_matches(text, '\\p{{L}}') AS ok FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def lang_ok(spark, d):
     words = F.array(*[F.lit(w) for w in ("the", "of", "and", "le", "la", "des")])
-    return _docs(spark, d).filter(F.col("text").rlike(r"\p{L}")).select("doc_id", X.language_ok("text", words).alias("ok"))
+    return _docs(spark, d).select("doc_id", X.language_ok("text", words).alias("ok"))
 
 
 @query("""
@@ -187,18 +189,15 @@ def outlet_names(spark, d):
 
 
 @query(f"""
-    WITH a AS (SELECT doc_id, doc_id % 20 AS k, {_TOKENS.format('text')} AS t, text FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS ref_id, doc_id % 20 AS k, {_TOKENS.format('text')} AS t, text FROM documents WHERE doc_id % 2 = 0),
-    p AS (SELECT doc_id, ref_id, a.text = b.text AS same, round(CASE WHEN len(a.t) + len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 9) AS j FROM a JOIN b ON a.k = b.k AND doc_id < ref_id),
+    WITH a AS (SELECT doc_id, lower(substr(text, 1, 2)) AS k, {_TOKENS.format('text')} AS t, text FROM documents), b AS (SELECT item_id AS ref_id, lower(substr(text, 1, 2)) AS k, {_TOKENS.format('text')} AS t, text FROM benchmark),
+    p AS (SELECT doc_id, ref_id, a.text = b.text AS same, round(CASE WHEN len(a.t) + len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 9) AS j FROM a JOIN b ON a.k = b.k),
     r AS (SELECT *, count(*) FILTER (same) OVER w AS n_same, max(j) OVER w AS top FROM p WINDOW w AS (PARTITION BY doc_id)), s AS (SELECT *, count(*) FILTER (j = top) OVER (PARTITION BY doc_id) AS tied FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY same DESC, j DESC, ref_id) = 1)
     SELECT a.doc_id, CASE WHEN ref_id IS NULL THEN 'no_key_match' WHEN n_same > 1 THEN 'exact_multiclaim' WHEN n_same = 1 THEN 'exact' WHEN j < 0.9 THEN 'claim_mismatch' WHEN tied > 1 THEN 'ambiguous' ELSE 'near' END AS status,
       CASE WHEN n_same > 0 OR (j >= 0.9 AND tied = 1) THEN ref_id ELSE -1 END AS ref_id, round(j, 6) AS jaccard FROM a LEFT JOIN s ON s.doc_id = a.doc_id""")
 def best_match(spark, d):
-    docs = _docs(spark, d).filter("doc_id % 2 = 0").withColumn("k", F.col("doc_id") % 20)
-    a, b = docs.select("doc_id", "k", "text"), docs.select(F.col("doc_id").alias("ref_id"), "k", F.col("text").alias("ref"))
-    # a document is matched with later ones of its key only
-    pairs = a.join(b, "k").filter("doc_id < ref_id").select("doc_id", "ref_id", "text", "ref")
-    left = a.select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    right = pairs.select(F.col("doc_id").cast("string").alias("key"), "ref_id", "ref")
+    """The reference text that starts like a document and is closest to it."""
+    key = F.lower(F.substring("text", 1, 2)).alias("key")
+    left, right = _docs(spark, d).select("doc_id", key, "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), key, F.col("text").alias("ref"))
     return J.best_match(left, right, "key", "doc_id", "ref_id", "text", "ref").select("doc_id", "status", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -256,13 +255,13 @@ _ANCHOR = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[A-Z
 
 
 @query(f"""
-    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS s FROM documents WHERE lang = 'en'), e AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM l),
+    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS s FROM documents), e AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM l),
     t AS (SELECT doc_id, pos, {_ANCHOR.format('sentence')} AS st, {_ANCHOR.format('b.text')} AS q FROM e JOIN benchmark b ON b.item_id = doc_id % 40), z AS (SELECT *, count(*) OVER w AS n, greatest(avg(len(st)) OVER w, 1) AS av FROM t WINDOW w AS (PARTITION BY doc_id)),
     h AS (SELECT doc_id, pos, n, av, len(st) AS ln, unnest(list_intersect(st, q)) AS term FROM z), f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM h),
     m AS (SELECT doc_id, pos, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * ln / av))) AS m FROM f GROUP BY ALL)
     SELECT z.doc_id, cast(z.pos AS INT) AS pos, round(coalesce(m, 0), 6) AS bm25 FROM z LEFT JOIN m ON m.doc_id = z.doc_id AND m.pos = z.pos""".replace("0.75 * ln / av", "0.75 * f.ln / av"))
 def bm25_sentences(spark, d):
-    s = P.bm25_sentences(_sentences(spark, table(spark, d, "documents").filter("lang = 'en'"), d), "doc_id", "pos", "sentence", X.anchor_terms("claim"))
+    s = P.bm25_sentences(_sentences(spark, _docs(spark, d), d), "doc_id", "pos", "sentence", X.anchor_terms("claim"))
     return s.select("doc_id", "pos", F.round("bm25", 6).alias("bm25"))
 
 

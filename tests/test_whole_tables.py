@@ -1,15 +1,21 @@
 """Queries of the catalogue on small tables of their own: every row and the whole of every text count."""
 
 import math
+import random
+import statistics
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as X
+from ledgerlake.operators import clustering as C
 from ledgerlake.operators import metrics as M
 from ledgerlake.operators import passages as P
+from ledgerlake.operators import relational as J
 from ledgerlake.operators import resampling as B
+from ledgerlake.operators import vectors as V
 from ledgerlake.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -72,3 +78,77 @@ def test_replicates(spark, monkeypatch, name, rep, groups):
     monkeypatch.setattr(B, "interval", lambda draws, *a: draws)
     draws = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert draws.count() == 2000 * groups and draws.select(rep).distinct().count() == 2000
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    rows = [(1, "a b " * 2000, "fr"), (2, None, None), (3, "", "en"), (4, "12 34", "de"), (5, "Zanzibar the of and\nle la Zanzibar", "fr")]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    d = put(spark, tmp_path, "benchmark", [(k, "Zanzibar") for k in range(40)], "item_id long, text string")
+    trigrams = {r.doc_id: r.n for r in QUERIES["trigrams"](spark, d).collect()}
+    assert trigrams == {1: 4, 2: 1, 3: 1, 4: 3, 5: len({t[k : k + 3] for t in ["Zanzibar the of and le la Zanzibar"] for k in range(len(t) - 2)})}
+    assert {r.doc_id: r.ok for r in QUERIES["lang_ok"](spark, d).collect()} == {1: False, 2: False, 3: False, 4: False, 5: True}
+    assert {(r.doc_id, r.pos): r.bm25 > 0 for r in QUERIES["bm25_sentences"](spark, d).collect()} == {(1, 0): False, (4, 0): False, (5, 0): True, (5, 1): True}
+
+
+def test_page_store_keeps_whole_pages(spark, tmp_path):
+    d = put(spark, tmp_path, "pages", [(2, "u", "late"), (1, "u", "x" * 5000)], "page_id long, url string, html string")
+    assert QUERIES["page_store"](spark, d).first().text == "x" * 5000
+
+
+def test_best_match_statuses(spark):
+    left = [(1, "k", "one two three"), (2, "k", "one two three"), (3, "k", "four five"), (4, "n", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"), (5, "m", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"), (6, "z", "one"), (7, None, "one"), (8, "c", "same"), (9, "k", None)]
+    long = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    right = [(10, "k", "one two three"), (11, "k", "six"), (20, "n", long + " x"), (21, "n", "other"), (30, "m", long + " x"), (31, "m", long + " x"), (32, "m", long + " y"), (41, "c", "same"), (40, "c", "same"), (50, None, "one")]
+    a = spark.createDataFrame(left, "id long, key string, t string")
+    b = spark.createDataFrame(right, "ref long, key string, u string")
+    got = {r.id: (r.status, r.ref) for r in J.best_match(a, b, "key", "id", "ref", "t", "u").collect()}
+    want = {1: ("exact", 10), 2: ("exact", 10), 3: ("claim_mismatch", None), 4: ("near", 20), 5: ("ambiguous", None), 6: ("no_key_match", None), 7: ("no_key_match", None), 8: ("exact_multiclaim", 40), 9: ("claim_mismatch", None)}
+    assert got == want
+
+
+def test_places_and_ranks(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(30)]), r.randrange(40) + 0.5) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a int, b double")
+    order = sorted(x for _, x in rows)
+    got = {p.value: (p.m, p.below, p.n) for p in M.places(df, "b").collect()}
+    assert got == {v: (order.count(v), order.index(v), len(order)) for v in set(order)}
+    held = sorted(x for x, _ in rows if x is not None)
+    assert tuple(M.index_quantile(df, "a", 0.95).first()) == (len(held), held[int(len(held) * 0.95)])
+    cuts = [x.value for x in M.quantiles_exclusive(df, "b", 10).orderBy("k").collect()]
+    assert cuts == pytest.approx(statistics.quantiles(order, n=10))
+    ranks = pd.DataFrame(rows, columns=["a", "b"]).fillna({"a": -1}).rank()
+    got = M.spearman(df, "a", "b").first()
+    assert got.n == 700 and got.rho == pytest.approx(ranks.a.corr(ranks.b))
+    one = M.spearman(df.limit(1), "a", "b").first()
+    assert (one.n, one.rho) == (1, None)
+
+
+def test_medoids_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 8))
+    x = centres[rng.integers(0, 3, 60)] + 0.15 * rng.normal(size=(60, 8))
+    x[7] = 0.0
+    df = spark.createDataFrame([(k, k % 2, [float(v) for v in x[k]]) for k in range(60)], "id int, block int, v array<double>")
+    got = {r.id: (r.component, r.is_medoid) for r in V.cosine_components(df, "block", "id", "v", 0.8).collect()}
+    size = np.linalg.norm(x, axis=1)
+    sim = x @ x.T / np.where(size[:, None] * size > 0, size[:, None] * size, 1)
+    comp = list(range(60))
+    for _ in range(60):
+        comp = [min(comp[j] for j in range(60) if j == i or (i % 2 == j % 2 and size[i] * size[j] > 0 and round(sim[i, j], 9) >= 0.8)) for i in range(60)]
+    best = {}
+    for c in set(comp):
+        members = [i for i in range(60) if comp[i] == c]
+        best[c] = max(members, key=lambda i: (round(sum(sim[i, j] for j in members), 6), -i))
+    assert got == {i: (comp[i], best[comp[i]] == i) for i in range(60)} and len(best) > 4
+
+
+def test_leak_tag_by_brute_force(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice("abcdef") for _ in range(r.randrange(0, 9)))
+    docs, refs = [(k, text() + " common") for k in range(150)] + [(150, None), (151, "")], [(text(),) for _ in range(12)] + [(None,), ("",), ("",)]
+    near = lambda a, b: bool(a) and bool(b) and round(len(a & b) / len(a | b), 9) >= 0.6
+    words = lambda t: set((t or "").split())
+    want = {k: any(near(words(t), words(b)) for (b,) in refs) for k, t in docs}
+    got = {x.id: x.leak for x in C.leak_tag(spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(refs, "ref string"), "id", "t", "ref").collect()}
+    assert got == want and 0 < sum(want.values()) < 150
