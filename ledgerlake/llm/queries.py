@@ -10,11 +10,14 @@ from .html_main_text import main_text
 from .ivf_pq import search
 from .license_scan import licenses
 from .line_dedup import drop_lines
+from .merkle_manifest import checked
 from .parity_join import link_components
 from .piece_lattice import segment
 from .robust_rules import rate
 from .source_mix import taken
+from .spelling_variants import spelling_variants
 from .suffix_dedup import remove_repeats
+from .token_counts import token_counts
 from .warc_writer import archive_and_read
 
 
@@ -62,6 +65,18 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(_read(spark, sf_dir, "documents"), n=3)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), limit=1024)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"), min_chars=6, min_count=5, ratio=5, typo_every=199)
+
+
 _TRIMMED = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
