@@ -182,14 +182,10 @@ def leak_tag(items: DataFrame, reference: DataFrame, item: str, text: str, ref_t
 
 def syndication(pages: DataFrame, claim: str, rank: str, sents: Column, least: float = 0.7) -> DataFrame:
     """Pages of a claim with `origin_rank`: the least rank of the group of copies by sentence containment; copies are marked, not deleted."""
-    keyed = pages.select(claim, rank, F.filter(F.transform(sents, lambda s: F.lower(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= 25).alias("s"))
-    a, b = keyed.select(claim, F.col(rank).alias("a"), F.array_distinct("s").alias("sa")), keyed.select(claim, F.col(rank).alias("b"), F.array_distinct("s").alias("sb"))
-    links = a.join(b, claim).filter("a < b").filter(X.containment(F.col("sa"), F.col("sb")) >= least)
-    node = lambda r: F.concat_ws("|", F.col(claim).cast("string"), F.lpad(F.col(r).cast("string"), 9, "0"))
-    comp = components(links.select(node("a").alias("a"), node("b").alias("b")))
-    found = comp.select(F.col("id").alias("__n"), F.split_part("component", F.lit("|"), F.lit(2)).cast("int").alias("__o"))
-    marked = pages.withColumn("__n", node(rank)).join(found, "__n", "left")
-    return marked.withColumn("origin_rank", F.coalesce("__o", F.col(rank).cast("int"))).drop("__n", "__o")
+    from .containment import syndicated
+
+    found = syndicated(pages, claim, rank, sents, least).select(F.col("block").alias(claim), F.col("page").alias(rank), F.col("kept").alias("__o")).dropDuplicates([claim, rank])
+    return pages.join(found, [claim, rank], "left").withColumn("origin_rank", F.coalesce("__o", rank).cast("int")).drop("__o").select(*pages.columns, "origin_rank")
 
 
 def leader_clusters(items: pd.DataFrame, vectors: list, least: float) -> list[int]:

@@ -583,14 +583,6 @@ def dossiers(spark, d):
     return G.dossier(_evidence(spark, d), "claim_id", "pos")
 
 
-@query()
-def ledger_guards(spark, d):
-    """Proposed statuses of a conversation, turn by turn, through the guards."""
-    t = _turns(spark, d)
-    even = F.col("turn") % 2 == 0
-    return G.transitions(t.select(F.col("conv_id").alias("claim_id"), F.col("turn").cast("int").alias("round"), F.col("status").alias("proposed"), even.alias("targeted"), F.lit(False).alias("final"), even.alias("met_supported"), (~even).alias("met_refuted"), F.lit(True).alias("any_supported"), even.alias("any_refuted"), even.alias("full_supported"), F.lit(True).alias("full_refuted")))
-
-
 @query("""
     WITH e AS (SELECT l_orderkey AS c, l_suppkey AS u, min(CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE strftime(l_shipdate, '%Y-%m-%d') END) AS dt, bool_or(l_suppkey % 10 = 0) AS f FROM lineitem GROUP BY ALL)
     SELECT count(*) AS docs, count(*) FILTER (dt > '1998-06-01') AS after, count(*) FILTER (dt IS NULL) AS undated, count(*) FILTER (f) AS fact_check FROM e""")
