@@ -9,19 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared folder; a session without one (tests) gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix=f"ledgerlake-{uuid.uuid4().hex[:6]}-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    """Cut lineage: written to the shared folder and read again, so that later plans also know its size."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -79,12 +79,28 @@ def strongest_forest(links: DataFrame, weight: str = "containment") -> DataFrame
             break
         new = taken.select("block", "a", "b", "weight").distinct()
         forest = new if forest is None else forest.unionByName(new)
-        joined = _components(taken.select("block", F.col("own").alias("a"), F.col("other").alias("b")))
-        moved = part.join(joined.select("block", F.col("id").alias("part"), "component"), ["block", "part"], "left")
-        part = _cut(moved.select("block", "id", F.coalesce("component", "part").alias("part")))
+        moved = part.join(_heads(taken).select("block", F.col("id").alias("part"), "head"), ["block", "part"], "left")
+        part = _cut(moved.select("block", "id", F.coalesce("head", "part").alias("part")))
     return edges.limit(0) if forest is None else _cut(forest)
 
 
+def _heads(taken: DataFrame) -> DataFrame:
+    """(block, id, head): where the links that the components took lead.
+
+    Under one order of links the only circles are two components that took each other; the smaller one of them is the head.  Paths are walked
+    in doubled steps.
+    """
+    back = taken.select("block", F.col("own").alias("other"), F.col("other").alias("own"), F.lit(True).alias("mutual"))
+    head = F.col("mutual") & (F.col("own") < F.col("other"))
+    now = _cut(taken.join(back, ["block", "own", "other"], "left").select("block", F.col("own").alias("id"), F.when(head, F.col("own")).otherwise(F.col("other")).alias("head")))
+    while True:
+        on = now.select("block", F.col("id").alias("head"), F.col("head").alias("onward"))
+        step = _cut(now.join(on, ["block", "head"]).select("block", "id", F.col("onward").alias("head"), (F.col("onward") != F.col("head")).alias("moved")))
+        if step.filter("moved").isEmpty():
+            return now
+        now = step.drop("moved")
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(block, id, component) of links (block, a, b) between whole numbers."""
     node = lambda c: F.struct(F.col("block").alias("block"), F.col(c).alias("id"))

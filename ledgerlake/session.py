@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,16 @@ def build(master: str | None = None, **extra: str) -> SparkSession:
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session without one, as in tests, gets its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        at = d.get()
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
