@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
 import time
 import uuid
 
@@ -18,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as shared_dir
+
 U = np.uint64
 
 
@@ -57,17 +58,6 @@ def bits_for(n: float, per_bucket: float) -> int:
     return max(0, math.ceil(math.log2(max(1.0, n / per_bucket))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; set here only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        at = d.get()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def settle(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 

@@ -39,9 +39,12 @@ from ._components import components
 from ._runs import bits_for, distinct, free_name, settle, split, text_size, unpack
 from ._text import U, chunked, first_of, mix, windows
 from .suffix_dedup import _RUN_DDL as RUN_DDL
-from .suffix_dedup import BUCKET_NAMES, SLAB_BYTES
 from .suffix_dedup import _out_runs as out_runs
 
+#: A worker holds one slab of texts with some 12 bytes a key, or the names of one bucket: 100 to 200 MB.
+SLAB_BYTES = 6 << 20
+BUCKET_NAMES = 1_000_000
+
 
 class Bands:
     """Size bands and their sketches for a similarity of num/den."""
@@ -189,6 +192,31 @@ def _often(table: pa.Table) -> pa.Table:
     return pa.table({"slab": slabs, "bucket": pa.repeat(table["bucket"][0].as_py(), len(slabs)), "often": pa.array([squeeze(often[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends)], pa.binary())})
 
 
+def _keyed(table, n: int, num: int, den: int):
+    """Of a slab: keys and their places, and of each place t, the document and its set size; of documents with equal sets only the smallest id."""
+    bands, keys, places, slacks, owners, sizes = Bands(num, den), [], [], [], [], []
+    found: dict[tuple, int] = {}
+    begun = 0
+    order = np.argsort(np.asarray(table["id"]), kind="stable")
+    for batch in table.take(pa.array(order)).combine_chunks().to_batches():
+        for part, chunk in chunked([batch], "text", SLAB_BYTES // 4):
+            ids = np.asarray(part.column(0))
+            starts, h = shingle_sets(chunk, n)
+            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x1D8E4E27C47D124F)), dtype=U)])
+            marks = list(zip(np.diff(starts).tolist(), (total[starts[1:]] - total[starts[:-1]]).tolist()))
+            live = np.array([m[0] > 0 and found.setdefault(m, i) == i for m, i in zip(marks, ids.tolist())], bool)
+            count = np.diff(starts)
+            key, place, slack = bands.keys(np.concatenate([[0], np.cumsum(count[live])]), h[np.repeat(live, count)])
+            keys.append(key)
+            places.append((place + begun).astype(np.int32))
+            slacks.append(slack)
+            owners.append(np.repeat(ids[live], 2))
+            sizes.append(np.repeat(count[live], 2))
+            begun += len(slack)
+    kinds = ((keys, U), (places, np.int32), (slacks, np.int64), (owners, np.int64), (sizes, np.int64))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in kinds)
+
+
 def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """(key, rep, n, lower): the keys that several documents have and that these documents don't leave out, with the documents, their set
     sizes, and whether the key's band is the one below their own.
@@ -203,49 +231,32 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     placed = thin.withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs)))
     bits = bits_for(size / 6, BUCKET_NAMES)
 
-    def keyed(table):
-        """Keys, their documents and set sizes, their places, and t of each place; of documents with equal sets in the slab only the smallest id."""
-        bands, keys, owners, sizes, places, slacks = Bands(num, den), [], [], [], [], []
-        found: dict[tuple, int] = {}
-        begun = 0
-        order = np.argsort(np.asarray(table["id"]), kind="stable")
-        for batch in table.take(pa.array(order)).combine_chunks().to_batches():
-            for part, chunk in chunked([batch], "text"):
-                ids = np.asarray(part.column(0))
-                starts, h = shingle_sets(chunk, n)
-                total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x1D8E4E27C47D124F)), dtype=U)])
-                marks = list(zip(np.diff(starts).tolist(), (total[starts[1:]] - total[starts[:-1]]).tolist()))
-                live = np.array([m[0] > 0 and found.setdefault(m, i) == i for m, i in zip(marks, ids.tolist())], bool)
-                count = np.diff(starts)
-                key, place, slack = bands.keys(np.concatenate([[0], np.cumsum(count[live])]), h[np.repeat(live, count)])
-                keys.append(key)
-                owners.append(ids[live][place >> 1])
-                sizes.append(count[live][place >> 1])
-                places.append(place + begun)
-                slacks.append(slack)
-                begun += len(slack)
-        if not keys:
-            return tuple(np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64, np.int64))
-        return tuple(np.concatenate(x) for x in (keys, owners, sizes, places, slacks))
-
     def send(key, table):
-        return out_runs(key[0].as_py(), distinct(keyed(table)[0]), None, bits)
+        return out_runs(key[0].as_py(), distinct(_keyed(table, n, num, den)[0]), None, bits)
 
     def give(key, table, back):
         schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("lower", pa.bool_())])
-        k, owner, size_, place, slack = keyed(table)
-        names, at, times = np.unique(k, return_inverse=True, return_counts=True)
+        k, place, slack, owner, size_ = _keyed(table, n, num, den)
+        order = np.argsort(k)
+        s = k[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        kind = np.cumsum(new, dtype=np.int32) - 1
+        times = np.diff(np.append(np.flatnonzero(new), len(s)))
         reply = dict(zip(back["bucket"].to_pylist(), back["often"].to_pylist()))
-        often = np.zeros(len(names), np.uint8)
-        for b, part in split(names, bits):
+        often = np.zeros(len(times), np.uint8)
+        for b, part in split(s[new], bits):
             often[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(reply[b]), np.uint8)
-        some = np.flatnonzero(((often > 0) | (times > 1))[at])
+        shared = ((often > 0) | (times > 1))[kind]
+        some, often = order[shared], often[kind[shared]]
         # shared keys of each place, the most frequent first; the others of the place are rarer than all of them
-        some = some[np.lexsort((k[some], 255 - often[at[some]], place[some]))]
+        turned = np.lexsort((k[some], 255 - often, place[some]))
+        some = some[turned]
         p = place[some]
         turn = np.arange(len(p)) - np.searchsorted(p, p)
         some = some[turn >= slack[p] - 1]
-        return pa.table([pa.array(k[some].view(np.int64)), pa.array(owner[some]), pa.array(size_[some]), pa.array(place[some] % 2 == 1)], schema=schema)
+        p = place[some]
+        return pa.table([pa.array(k[some].view(np.int64)), pa.array(owner[p]), pa.array(size_[p]), pa.array(p % 2 == 1)], schema=schema)
 
     back = settle(placed.groupBy("slab").applyInArrow(send, RUN_DDL).groupBy("bucket").applyInArrow(_often, _BACK_DDL), "shared-keys", free=True)
     return placed.groupBy("slab").cogroup(back.groupBy("slab")).applyInArrow(give, "key long, rep long, n long, lower boolean")
