@@ -36,7 +36,7 @@ TABLE = mix(np.arange(1, 257, dtype=U) * U(_BASE))
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        p = np.full(max(n, CHUNK + 1), base, U)
+        p = np.full(1 << max(19, (n - 1).bit_length()), base, U)
         p[0] = 1
         have = np.cumprod(p, dtype=U)
         if n <= 2 * CHUNK:
@@ -91,9 +91,20 @@ def to_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows whose texts are held as Python objects at a time.
+ROWS = 1000
+
+
+def parts_of(batches):
+    """The batches in parts of at most ROWS rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            yield batch.slice(begin, ROWS)
+
+
 def chunked(batches, text: str, size: int = CHUNK):
     """(rows, Chunk) for runs of rows of about `size` bytes of text; one longer document stands alone."""
-    for batch in batches:
+    for batch in parts_of(batches):
         texts = to_bytes(batch.column(batch.schema.get_field_index(text)))
         first = held = 0
         for k, t in enumerate(texts):
