@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evidence, model, textual
+from . import curation, evidence, model, rules, textual
 from .registry import QUERIES, SQL
 
-PARTS = (model, curation, textual, evidence)
+PARTS = (model, curation, textual, evidence, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
