@@ -1,11 +1,15 @@
-"""Bootstrap and Monte Carlo: replicates run in parallel over a matrix of counts per claim.
+"""Bootstrap and Monte Carlo: replicates from hashes, made where the claims are.
 
-The matrix is what a fit needs, one row of bucket counts a claim; claims are grouped to distinct rows with multiplicities first where no
-clusters matter, so what is broadcast grows with distinct count patterns and not with claims.
+How often a claim is in a replicate is a Poisson number of mean 1 from a hash of (seed, replicate, cluster or claim), so no draw is kept, sent or
+collected, and a replicate is the same in every run and on any partitions.  A task adds up multiplicities by count pattern (what a
+fit needs of a claim), Spark sums them over the tasks, and a block of replicates is then evaluated over patterns.  What a task holds
+grows with distinct patterns, not with claims: with ten slots and seven flags at most 8,008 for each fold and class.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,42 +41,81 @@ def fold_scores(c, y, mid, fold, times) -> np.ndarray:
     return s
 
 
-def multiplicities(rng, y, cluster, clustered: bool) -> np.ndarray:
-    """How often each claim is drawn: clusters with replacement, or claims within their class."""
-    if clustered:
-        n = int(cluster.max()) + 1
-        return np.bincount(rng.integers(0, n, n), minlength=n)[cluster]
-    out = np.zeros(len(y), np.int64)
-    for v in (0, 1):
-        own = np.flatnonzero(y == v)
-        out[own] = np.bincount(rng.integers(0, len(own), len(own)), minlength=len(own)) if len(own) else 0
-    return out
+#: Replicates that are evaluated together.
+BLOCK = 50
+#: Patterns that a task adds up before it passes them on.
+HELD = 5_000
+_CDF = np.cumsum([np.exp(-1.0) / float(math.factorial(k)) for k in range(20)])
 
 
-def _matrix(counts: DataFrame, flags) -> tuple:
-    wide = counts.groupBy("claim_id", "y", "mid", "fold", "cluster_id").pivot("flag", list(flags)).agg(F.sum("n")).fillna(0).orderBy("claim_id").toPandas()
-    return wide[list(flags)].to_numpy(float), wide["y"].to_numpy(), wide["mid"].to_numpy(bool), wide["fold"].to_numpy(), np.unique(wide["cluster_id"], return_inverse=True)[1]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def bootstrap_auc(counts: DataFrame, flags, reps: int = 200, seed: int = 1) -> DataFrame:
-    """(design, rep, auc) of out-of-fold scores for cluster and row draws; replicate r of a seed is the same in every run.
+def multiplicities(unit: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """units x replicates: how often each unit (a 64-bit hash) is drawn."""
+    salt = _mix((reps.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    h = _mix(unit.astype(np.int64).view(np.uint64)[:, None] ^ salt[None, :])
+    return np.searchsorted(_CDF, (h >> np.uint64(11)) * 2.0**-53, side="right")
 
-    counts is a fitted population (thousands of claims), collected once and broadcast.
-    """
-    spark = counts.sparkSession
-    held = spark.sparkContext.broadcast(_matrix(counts, flags))
+
+def drawn(rows: DataFrame, unit: str, pattern: str, reps: int, seed: int) -> DataFrame:
+    """(block, pattern, t0, t1, ...): multiplicities of each replicate of a block, summed over the rows of a pattern."""
+    names = [f"t{k}" for k in range(BLOCK)]
+    blocks = -(-reps // BLOCK)
 
     def run(batches):
-        c, y, mid, fold, cluster = held.value
+        held: dict[str, np.ndarray] = {}
+
+        def rows_():
+            for k in range(blocks):
+                part = np.array([v[k * BLOCK : (k + 1) * BLOCK] for v in held.values()]).reshape(len(held), BLOCK)
+                yield pd.DataFrame({"block": k, "pattern": pd.Series(list(held), dtype=object), **dict(zip(names, part.T.astype(np.int64)))})
+            held.clear()
+
         for b in batches:
-            rows = []
-            for r in b["id"]:
-                for design in ("cluster", "row"):
-                    times = multiplicities(np.random.default_rng([seed, int(r)]), y, cluster, design == "cluster")
-                    rows.append((design, int(r), weighted_auc(fold_scores(c, y, mid, fold, times), y, times)))
-            yield pd.DataFrame(rows, columns=["design", "rep", "auc"])
+            kinds, at = np.unique(b["pattern"].to_numpy(str), return_inverse=True)
+            for begin in range(0, len(b), 500):
+                unit_, kind = b["unit"].to_numpy()[begin : begin + 500], at[begin : begin + 500]
+                times = multiplicities(unit_, np.arange(blocks * BLOCK), seed)
+                order = np.argsort(kind, kind="stable")
+                first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+                for name, total in zip(kinds[kind[order][first]].tolist(), np.add.reduceat(times[order], first, axis=0)):
+                    held[name] = held[name] + total if name in held else total
+            if len(held) > HELD:
+                yield from rows_()
+        yield from rows_()
+
+    thin = rows.select(F.xxhash64(unit).alias("unit"), F.col(pattern).alias("pattern"))
+    summed = thin.mapInPandas(run, f"block int, pattern string, {', '.join(f'{n} long' for n in names)}")
+    return summed.groupBy("block", "pattern").agg(*(F.sum(n).alias(n) for n in names))
 
-    return spark.range(0, reps, 1, min(reps, 64)).mapInPandas(run, "design string, rep long, auc double")
+
+def bootstrap_auc(counts: DataFrame, flags, reps: int = 200, seed: int = 1) -> DataFrame:
+    """(design, rep, auc) of out-of-fold scores where clusters or claims are drawn; weights are fitted anew in each replicate."""
+    flags = list(flags)
+    wide = counts.groupBy("claim_id", "y", "mid", "fold", "cluster_id").agg(*(F.sum(F.when(F.col("flag") == f, F.col("n")).otherwise(0)).cast("long").alias(f"n{k}") for k, f in enumerate(flags)))
+    pattern = F.concat_ws(" ", F.col("y").cast("int"), F.col("mid").cast("int"), "fold", *(f"n{k}" for k in range(len(flags))))
+    wide = wide.withColumn("pattern", pattern)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.array([x.split() for x in pdf["pattern"]], np.int64).reshape(len(pdf), -1)
+        y, mid, fold, c = p[:, 0], p[:, 1].astype(bool), p[:, 2], p[:, 3:].astype(float)
+        block = int(pdf["block"].iloc[0])
+        out = []
+        for k in range(BLOCK):
+            if block * BLOCK + k < reps:
+                times = pdf[f"t{k}"].to_numpy(float)
+                out.append((block * BLOCK + k, weighted_auc(fold_scores(c, y, mid, fold, times), y, times)))
+        return pd.DataFrame(out, columns=["rep", "auc"])
+
+    out = None
+    for design, unit in (("cluster", "cluster_id"), ("row", "claim_id")):
+        one = drawn(wide, unit, "pattern", reps, seed).groupBy("block").applyInPandas(run, "rep long, auc double").select(F.lit(design).alias("design"), "rep", "auc")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def interval(draws: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -85,22 +128,33 @@ def design_effect(draws: DataFrame) -> DataFrame:
     return draws.agg((F.var_pop(F.when(F.col("design") == "cluster", F.col("auc"))) / F.var_pop(F.when(F.col("design") == "row", F.col("auc")))).alias("design_effect"))
 
 
-def paired_difference(rows: DataFrame, y: str, score_a: str, score_b: str, reps: int = 200, seed: int = 1) -> DataFrame:
-    """(rep, difference) of AUC of two scores on the same draws."""
-    spark = rows.sparkSession
-    pdf = rows.select(y, score_a, score_b).orderBy(y, score_a, score_b).toPandas()
-    held = spark.sparkContext.broadcast((pdf[y].to_numpy(), pdf[score_a].to_numpy(), pdf[score_b].to_numpy()))
+def paired_difference(rows: DataFrame, unit: str, y: str, score_a: str, score_b: str, reps: int = 200, seed: int = 1) -> DataFrame:
+    """(rep, difference) of AUC of two scores on the same draws of units (claims, or posts for an interval by post).
 
-    def run(batches):
-        yy, a, b = held.value
-        for batch in batches:
-            out = []
-            for r in batch["id"]:
-                times = multiplicities(np.random.default_rng([seed, int(r)]), yy, None, False)
-                out.append((int(r), weighted_auc(a, yy, times) - weighted_auc(b, yy, times)))
-            yield pd.DataFrame(out, columns=["rep", "difference"])
-
-    return spark.range(0, reps, 1, min(reps, 64)).mapInPandas(run, "rep long, difference double")
+    A block of replicates meets the distinct rows (y, both scores), rounded to nine places.
+    """
+    pattern = F.concat_ws(" ", F.col(y).cast("int"), F.round(score_a, 9), F.round(score_b, 9))
+    marked = rows.select(F.col(unit).alias("unit_"), pattern.alias("pattern"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.array([x.split() for x in pdf["pattern"]], float).reshape(len(pdf), 3)
+        block = int(pdf["block"].iloc[0])
+        out = []
+        for k in range(BLOCK):
+            if block * BLOCK + k < reps:
+                times = pdf[f"t{k}"].to_numpy(float)
+                out.append((block * BLOCK + k, weighted_auc(p[:, 1], p[:, 0], times) - weighted_auc(p[:, 2], p[:, 0], times)))
+        return pd.DataFrame(out, columns=["rep", "difference"])
+
+    return drawn(marked, "unit_", "pattern", reps, seed).groupBy("block").applyInPandas(run, "rep long, difference double")
+
+
+def rate_draws(rows: DataFrame, unit: str, hit: str, reps: int = 200, seed: int = 1) -> DataFrame:
+    """(rep, rate): share of rows with hit in each replicate; units with several rows (posts) are drawn whole."""
+    names = [f"t{k}" for k in range(BLOCK)]
+    d = drawn(rows.withColumn("pattern", F.coalesce(F.col(hit), F.lit(False)).cast("string")), unit, "pattern", reps, seed)
+    sums = d.groupBy("block").agg(*(F.struct(F.sum(F.when(F.col("pattern") == "true", F.col(n)).otherwise(0)).alias("hit"), F.sum(n).alias("n")).alias(n) for n in names))
+    return sums.select("block", F.posexplode(F.array(*names)).alias("k", "x")).select((F.col("block") * BLOCK + F.col("k")).cast("long").alias("rep"), (F.col("x.hit") / F.col("x.n")).alias("rate")).filter(F.col("rep") < reps)
 
 
 def redrawn_weights(reads: DataFrame, confusion: dict[str, dict[str, float]], flags, draws: int = 100, seed: int = 1) -> DataFrame:

@@ -383,7 +383,14 @@ def bootstrap_ci(spark, d):
 @query()
 def paired_auc_difference(spark, d):
     rows = scores(spark, d).withColumn("other", F.col("claim_id") % 17 + 0.0)
-    return B.interval(B.paired_difference(rows, "y", "score", "other", 2000).withColumn("g", F.lit("all")), ["g"], "difference")
+    return B.interval(B.paired_difference(rows, "claim_id", "y", "score", "other", 2000).withColumn("g", F.lit("all")), ["g"], "difference")
+
+
+@query()
+def rate_interval(spark, d):
+    """Interval of the share of claims that are false, customers drawn whole."""
+    c = claims(spark, d).withColumn("hit", F.col("y") == 0)
+    return B.interval(B.rate_draws(c, "cluster_id", "hit", 2000).withColumn("g", F.lit("all")), ["g"], "rate")
 
 
 @query()
