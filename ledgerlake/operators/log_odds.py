@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import linear_quantiles
+
 #: The flags of a read page, from clear support to clear refutation, with two silent ones.
 FLAGS = ("5", "4", "3", "X", "I", "2", "1")
 VOICES = {"5": "t", "4": "t", "1": "f", "2": "f"}
@@ -181,7 +183,8 @@ def shrunk_cells(cells: DataFrame, least: int = 200, soft: bool = False) -> Data
 def decile_calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, share_false) over bins between exact quantiles of the score (linear interpolation)."""
     s = scores.withColumn("score", F.round("score", 9))
-    edges = s.agg(F.percentile("score", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("edges"))
+    cuts = linear_quantiles(s, "score", [k / bins for k in range(1, bins)])
+    edges = cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("edges"))  # bins - 1 numbers
     placed = s.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: F.round(e, 9) < F.col("score"))))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg((F.col("y") == 0).cast("double")).alias("share_false"))
 

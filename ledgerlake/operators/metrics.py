@@ -124,6 +124,17 @@ def index_quantile(values: DataFrame, col: str, p: float) -> DataFrame:
     return ranked.filter((F.col("below") <= at) & (at < F.col("below") + F.col("m"))).select("n", "value")
 
 
+def linear_quantiles(values: DataFrame, col: str, shares: list[float]) -> DataFrame:
+    """(k, value): for each share p, interpolated at place p (n - 1) of the values in order; nulls don't count, an empty table gives no rows."""
+    ranked = places(values.filter(F.col(col).isNotNull()), col)
+    cuts = ranked.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("k", "p"))
+    at = F.col("p") * (F.col("n") - 1)
+    j = F.floor(at)
+    holds = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("m"))
+    share = F.when(holds(j), 1 - (at - j)).otherwise(0.0) + F.when(holds(j + 1), at - j).otherwise(0.0)
+    return cuts.filter(holds(j) | holds(j + 1)).groupBy("k").agg(F.sum(F.col("value").cast("double") * share).alias("value"))
+
+
 def quantiles_exclusive(values: DataFrame, col: str, parts: int) -> DataFrame:
     """(k, value): the parts - 1 cut points of the exclusive method, interpolated between (n + 1) k / parts places."""
     ranked = places(values.filter(F.col(col).isNotNull()), col)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .metrics import places
 
 
 def _order(cols) -> list[Column]:
@@ -171,4 +172,6 @@ def minmax_rank(df: DataFrame, recency: str, likes: str, key: str) -> DataFrame:
     span = df.agg(F.min(recency).alias("r0"), F.max(recency).alias("r1"), F.min(F.log1p(likes)).alias("l0"), F.max(F.log1p(likes)).alias("l1"))
     part = lambda x, lo, hi: F.when(F.col(hi) > F.col(lo), (x - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
     scored = df.crossJoin(F.broadcast(span)).withColumn("score", F.round(0.5 * part(F.col(recency), "r0", "r1") + 0.5 * part(F.log1p(likes), "l0", "l1"), 9)).drop("r0", "r1", "l0", "l1")
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    # numbered by ranges: the order is made within ranges, and no task sees all rows
+    order = scored.withColumn("by", F.struct((-F.col("score")).alias("less"), F.col(key)))
+    return order.join(places(order, "by").select(F.col("value").alias("by"), (F.col("below") + 1).cast("int").alias("place")), "by").drop("by")

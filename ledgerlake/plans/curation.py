@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import ratings as R
 from ..functions import text as X
 from ..operators import ledger as G
+from ..operators import metrics as M
 from ..operators import relational as J
 from ..operators import sampling as S
 from ..sources import files as I
@@ -84,7 +85,7 @@ def rating_band(spark, d):
     SELECT cast(s AS INT) AS step, CASE s WHEN 1 THEN 'status' WHEN 2 THEN 'views' WHEN 3 THEN 'date' ELSE 'forecast' END AS rule, count(*) FILTER (k = s) AS dropped, count(*) FILTER (k IS NULL OR k > s) AS "left" FROM f, range(1, 5) t(s) GROUP BY s""")
 def rule_cascade(spark, d):
     o = table(spark, d, "orders")
-    o = o.crossJoin(F.broadcast(o.agg(F.percentile("o_totalprice", F.lit(0.5)).alias("m"))))
+    o = o.crossJoin(F.broadcast(M.linear_quantiles(o, "o_totalprice", [0.5]).select(F.col("value").alias("m"))))  # one number
     rules = [("status", F.col("o_orderstatus") != "P"), ("views", F.col("o_totalprice") >= F.col("m")), ("date", F.col("o_custkey") % 7 != 0), ("forecast", F.substring("o_orderpriority", 1, 1) != "3")]
     return J.funnel(o, rules)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.registered import register
 from ..operators import rules as R
 from .registry import query, table
 
@@ -276,3 +277,21 @@ def bucket_merges(spark, d):
     path = R.merge_path([r.t for r in c], [r.f for r in c])
     rows = [(k + 1, int(c[i].p_size), int(c[j].p_size), round(float(g), 9)) for k, (i, j, g) in enumerate(path)]
     return spark.createDataFrame(rows, "step int, kept int, gone int, loss double")
+
+
+# -- functions for SQL ------------------------------------------------------------------------------
+
+_LINES = "l AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE length(string_split(text, chr(10))[i + 1]) >= 5)"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, row_number() OVER w - 1 AS line_no, length(line) AS n_chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)")
+def line_rows(spark, d):
+    """A table function in SQL over a partitioned table."""
+    register(spark)
+    return spark.sql("SELECT doc_id, line_no, n_chars, repeated FROM line_rows(TABLE(SELECT doc_id, text FROM {docs}), 5)", docs=table(spark, d, "documents"))
+
+
+@query(f"WITH {_LINES}, n AS (SELECT doc_id, length(line) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY length(line), i) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM l) SELECT doc_id, round(avg(c), 6) AS mean FROM n WHERE m < 3 OR (k > 1 AND k < m) GROUP BY doc_id")
+def trimmed_lines(spark, d):
+    """An aggregate in Python over the lines of each document, in SQL."""
+    return line_rows(spark, d).sparkSession.sql("SELECT doc_id, round(trimmed_mean(CAST(n_chars AS DOUBLE)), 6) AS mean FROM {lines} GROUP BY doc_id", lines=line_rows(spark, d))

@@ -126,3 +126,33 @@ def test_scorecard_is_one_scan_and_can_be_observed(spark):
     assert card._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Range (") == 1
     seen = Observation("rules")
     assert R.observed(df, rules, seen).count() == 100 and seen.get == {"n": 100, "known": 10, "small": 55}
+
+
+def test_functions_for_sql(spark):
+    from ledgerlake.functions.registered import register
+
+    register(spark)
+    docs = spark.createDataFrame([(1, "one line\ntwo\none line"), (2, None), (3, ""), (1, "zwei Zeilen\none line"), (None, "of nobody")], "key long, body string")
+    got = spark.sql("SELECT * FROM line_rows(TABLE(SELECT key, body FROM {docs}), 4)", docs=docs)
+    assert got.columns == ["key", "line_no", "line", "n_chars", "repeated"]
+    rows = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert rows == sorted([(1, 0, "one line", 8, False), (1, 1, "one line", 8, True), (1, 2, "zwei Zeilen", 11, False), (1, 3, "one line", 8, True), (None, 0, "of nobody", 9, False)], key=repr)
+    with pytest.raises(Exception, match="takes a table"):
+        spark.sql("SELECT * FROM line_rows(TABLE(SELECT key FROM {docs}), 4)", docs=docs).collect()
+    values = spark.createDataFrame([(1, 1.0), (1, 100.0), (1, 3.0), (1, 4.0), (2, 5.0), (2, 6.0), (3, None)], "g int, v double")
+    assert {r.g: r.m for r in spark.sql("SELECT g, trimmed_mean(v) AS m FROM {values} GROUP BY g", values=values).collect()} == {1: 3.5, 2: 5.5, 3: None}
+
+
+def test_quantiles_and_places_against_numpy(spark):
+    from ledgerlake.operators.metrics import linear_quantiles
+    from ledgerlake.operators.relational import minmax_rank
+
+    v = np.random.default_rng(4).integers(0, 50, 999).astype(float)
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)] + [(1000, None)], "k long, v double")
+    shares = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    got = {r.k: r.value for r in linear_quantiles(df, "v", shares).collect()}
+    assert [got[k] for k in range(6)] == pytest.approx(np.quantile(v, shares).tolist())
+    assert linear_quantiles(df.limit(0), "v", [0.5]).count() == 0
+    places = {r.k: r.place for r in minmax_rank(df.filter("v is not null").withColumn("likes", F.lit(1)), "v", "likes", "k").collect()}
+    order = sorted(range(999), key=lambda k: (-v[k], k))
+    assert [places[k] for k in order] == list(range(1, 1000))
