@@ -124,20 +124,34 @@ def representatives(clustered: DataFrame, order: list[Column], text: str = "norm
     return clustered.withColumn("is_rep", F.row_number().over(w) == 1).withColumn("collapsible", rep_len >= least)
 
 
+def token_sets(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, copies, s) of each distinct token set, id its least item, and the membership (id, rep); texts without tokens have neither."""
+    marked = items.select(F.col(item).alias("id"), F.array_sort(X.tokens(text)).alias("s")).filter(F.size("s") > 0).withColumn("mark", F.sha2(F.array_join("s", " "), 256))
+    first = marked.groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = marked.select("id", "mark").join(first, "mark").select("id", "rep")
+    sets = marked.withColumnRenamed("id", "rep").join(first, ["mark", "rep"]).select(F.col("rep").alias("id"), "copies", "s").dropDuplicates(["id"])
+    return sets, members
+
+
 def similar_pairs(items: DataFrame, item: str, text: str, least: float) -> DataFrame:
-    """(a, b, j), a before b, of token-set Jaccard at least `least`: prefix filter, then exact sets.
+    """(a, b, j, copies_a, copies_b), a before b, of distinct token sets with Jaccard of at least `least`: prefix filter, then exact sets.
 
-    Tokens are ranked by rarity; two sets that similar share one of the first n - ceil(least n) + 1 tokens of each.
+    Texts of one set are one representative, their least item, with its number of copies: rows grow with distinct texts, not with pairs of
+    copies.  Tokens are ranked by rarity; two sets that similar share one of the first n - ceil(least n) + 1 tokens of each.
     """
-    sets = items.select(F.col(item).alias("id"), X.tokens(text).alias("s")).filter(F.size("s") > 0)
+    sets = _cut(token_sets(items, item, text)[0])
     held = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     df = held.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    prefix = held.join(df, "t").select("id", "n", "t", place.alias("p")).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    prefix = held.join(df, "t").filter("df > 1").select("id", "n", "t", "df")
+    # tokens of one set only come first and have no partner; they still take up places of the prefix
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    prefix = prefix.select("id", "n", "t", (place + alone).alias("p")).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t").join(prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t"), "t")
     pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
-    scored = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return scored.select("a", "b", F.round(X.jaccard(F.col("sa"), F.col("sb")), 9).alias("j")).filter(F.col("j") >= least)
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("copies").alias(f"copies_{x}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b")
+    return scored.select("a", "b", F.round(X.jaccard(F.col("sa"), F.col("sb")), 9).alias("j"), "copies_a", "copies_b").filter(F.col("j") >= least)
 
 
 def greedy_dedup(items: DataFrame, item: str, text: str, least: float = 0.85) -> DataFrame:
@@ -154,7 +168,9 @@ def greedy_dedup(items: DataFrame, item: str, text: str, least: float = 0.85) ->
         ruled = state.join(before, "id", "left")
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(0)) > 0, F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
         state = _cut(ruled.select("id", now.alias("kept")))
-    return items.join(state.withColumnRenamed("id", item).withColumnRenamed("kept", "__k"), item, "left").withColumn("kept", F.coalesce("__k", F.lit(True))).drop("__k")
+    # a later copy of a set goes either way: with its first item, or because that one stays
+    ruled = token_sets(items, item, text)[1].join(state, "id", "left").select(F.col("id").alias(item), ((F.col("id") == F.col("rep")) & F.coalesce("kept", F.lit(True))).alias("__k")).dropDuplicates([item])
+    return items.join(ruled, item, "left").withColumn("kept", F.coalesce("__k", F.lit(True))).drop("__k")
 
 
 def leak_tag(items: DataFrame, reference: DataFrame, item: str, text: str, ref_text: str, least: float = 0.6) -> DataFrame:

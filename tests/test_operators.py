@@ -68,6 +68,17 @@ def test_components_and_greedy(spark):
     assert [r.kept for r in C.greedy_dedup(df, "id", "text", 0.7).orderBy("id").collect()] == want
 
 
+def test_pairs_grow_with_distinct_texts(spark):
+    """Two hundred copies in any order of words are one representative; a dropped representative takes its copies along."""
+    texts = ["a b c d e f g h i j"] + ["b a c d e f g h i k"] * 100 + ["k i h g f e d c b a"] * 100 + ["", None, "", "x y", "y x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert [tuple(r) for r in C.similar_pairs(df, "id", "text", 0.7).collect()] == [(0, 1, pytest.approx(9 / 11), 1, 200)]
+    _, members = C.token_sets(df, "id", "text")
+    assert {r.id: r.rep for r in members.collect()} == {0: 0, **{k: 1 for k in range(1, 201)}, 204: 204, 205: 204}
+    kept = {r.id: r.kept for r in C.greedy_dedup(df, "id", "text", 0.7).collect()}
+    assert [k for k, v in kept.items() if v] and sorted(k for k, v in kept.items() if v) == [0, 201, 202, 203, 204]
+
+
 def test_clusters(spark):
     df = spark.createDataFrame([(1, "vaccines contain microchips says doctor"), (2, "doctor says vaccines contain microchips"), (3, "vaccines contain microchips says doctor"), (4, "wholly other thing about turtles"), (5, ""), (6, "")], "id long, norm string")
     got = {r.id: (r.cluster_id, r.cluster_size) for r in C.cluster(df).collect()}
