@@ -123,3 +123,30 @@ def test_stale_verdicts_are_a_miss_in_a_stream_too(streaming, tmp_path):
     a = rows.filter("is_ask").select("claim_key", rows["at"].alias("asked_at"), "seq")
     got = drain(L.verdict_stream(s, a, 60, "1 minute"), "verdicts", tmp_path / "cp")
     assert sorted((tuple(r) for r in got), key=repr) == want
+
+
+def test_snippets_against_a_replay(spark):
+    import random
+    import re
+
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(12)]
+    rows = []
+    for c in range(20):
+        for k in range(12):
+            old = [x for x in rows if x[0] == c and x[2]]
+            text = r.choice([" ".join(r.choices(words, k=r.randrange(1, 15))), r.choice(old)[2] + r.choice([" more", "", " and yet more words here"]) if old else "a b c d e f", None, " "])
+            rows.append((c, k, text))
+    want, kept = [], {}
+    for c, k, t in rows:
+        if not (t or "").strip():
+            continue
+        w = re.sub(r"\W+", " ", t.lower()).split()
+        s = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+        if s and any(o and len(s & o) / min(len(s), len(o)) >= 0.6 for o in kept.get(c, [])):
+            continue
+        kept.setdefault(c, []).append(s)
+        want.append((c, k))
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "claim int, at int, snippet string")
+    assert sorted(tuple(x) for x in G.distinct_snippets(df, "claim", "at", "snippet").collect()) == want and len(want) < len(rows)
+    assert G.distinct_snippets(df.limit(0), "claim", "at", "snippet").count() == 0
