@@ -55,6 +55,27 @@ def test_run_and_order():
     assert corpus_pipeline.ORACLE_SQL is None and re.match("Corpus|The corpus", corpus_pipeline.__doc__)
 
 
+def test_run_end_to_end(spark, docs, tmp_path):
+    """Nulls in any column, repeated rows and ids, a text of a megabyte and columns named like the stages' own."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(rnd.randint(2, 9)))
+    long = " ".join(word() for _ in range(170_000))
+    base = [tuple(r) for r in docs.collect()]
+    odd = [(400, long, "en", "s1", len(long)), (None, base[5][1] + " of nobody", "en", "s1", 9), (401, base[6][1] + " elsewhere", None, None, None), (402, "", "en", "s1", 0), (None, None, None, None, None)]
+    rows = [(*r, "x", 1, True) for r in [*base, *odd, base[7], base[7], (base[8][0], base[9][1] + " under another id", "en", "s0", 1)]]
+    spark.createDataFrame(rows, SCHEMA + ", pieces string, gone long, slab boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert out.columns == ["doc_id", "n_pieces", "segmentations"]
+    ids = {r.doc_id for r in got}
+    assert len(long) > 1_000_000 and 400 in ids and not ids & {300, 301, 302, 402} and ids <= {r[0] for r in rows}
+    words = defaultdict(set)
+    for r in rows:
+        words[r[0]] |= set((r[1] or "").split())
+    for r in decoded(out.selectExpr("doc_id", "segmentations[0].pieces AS p"), "doc_id", "p").collect():
+        assert "Shared footer line" not in r.text.split("\n") and set(r.text.split()) <= words[r.id]
+
+
 def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
