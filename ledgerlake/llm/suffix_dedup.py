@@ -2,12 +2,10 @@
 
 A difference cover D of the residues mod v has, for any two positions, a shift below v that takes both
 into the cover.  A string of `length` bytes found at two places therefore has a common suffix of at
-least length - v + 1 bytes that starts at a sampled position of both.  As in difference-cover suffix
-sorting, sampled positions are named by sorting triples of 8-byte words, names of triples are named
-again (the recursion; it ends at the depth that `length` bytes need), suffixes between the samples are
-merged in through their sampled neighbours, and adjacent entries of the sorted order are compared.
-Names are 64-bit fingerprints, not ranks: naming then needs no global sort, and equal names stand side
-by side in the order by name just the same.
+least length - v + 1 bytes that starts at a sampled position of both.  Sampled positions are named by
+triples of 8-byte words, strings of full length by triples of more words.  This is the cover of a
+difference-cover suffix sort without its ranks: names are 64-bit fingerprints, so there is no global sort, no
+recursion on ranks and no merge of the remaining suffixes, only the question which names are equal.
 
 Distributed form: slabs are ranges of doc_id, so that of two slabs the lower holds the smaller ids.
 Sorted runs of sampled names go to buckets (ranges of names), which return to each slab a bit for each name:
@@ -20,8 +18,8 @@ nothing); rows with the same doc_id never match each other, and each is answered
 `length` bytes are kept; a whole text that a smaller doc_id has is recognised by its digest and removed
 outright; very long texts are one slab and are taken whole; an empty table gives an empty result; other columns are ignored.
 
-Full-length names are 64 bits and are not compared byte by byte: of m merged starts each has a chance of m / 2^64 to be taken for
-another's (below 10^-9 at 30 GB, about 10^-6 at 100 TB).
+Full-length names are 64 bits and are not compared byte by byte: of m merged starts some m^2 / 2^65 are taken for another's and
+their bytes wrongly removed, which is about 3 at 30 GB if all 10^10 starts are merged, and 10^7 at 100 TB.
 """
 
 from __future__ import annotations
