@@ -322,13 +322,17 @@ class Encoded:
             out.append(found)
         return out
 
-    def segmentation(self, doc: int, changed: dict) -> list[int]:
+    def segmentation(self, doc: int, changed: dict):
         """The ids of a document with some units segmented otherwise."""
         out, at = [], int(self.doc_ids[doc])
         for k in sorted(changed):
-            out += self.ids[at : self.occ_ids[k]].tolist() + list(changed[k])
+            out += [self.ids[at : self.occ_ids[k]], np.array(changed[k], self.ids.dtype)]
             at = int(self.occ_ids[k + 1])
-        return out + self.ids[at : self.doc_ids[doc + 1]].tolist()
+        return np.concatenate([*out, self.ids[at : self.doc_ids[doc + 1]]])
+
+    def decodes(self, changed: dict) -> bool:
+        """Whether units that are segmented otherwise decode to what they are; the other units are those of the best segmentation."""
+        return all(b"".join(self.p.text[x] for x in ids) == self.data[self.begin[k] : self.end[k]].tobytes() for k, ids in changed.items())
 
     def round_trips(self) -> list[bool]:
         """Whether the pieces of each document decode to its text."""
@@ -440,28 +444,31 @@ def _sent(docs: DataFrame, text_col: str, model: str, counts):
 
 
 def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, model: str = MODEL, counts=None) -> DataFrame:
-    """Per document: doc_id, n_pieces, pieces_sha256 (of the ids as little-endian uint32), score, best_scores (up to n, best first), round_trip."""
+    """Per document: doc_id, n_pieces, pieces_sha256 (of the ids as little-endian uint32), score, best_scores (up to n, best first), best_sha256 (of each of them), round_trip (of all)."""
     if n < 1:
         raise ValueError("n must be at least 1")
     sent = _sent(docs, text_col, model, counts)
 
     def run(batches):
         p = pieces_of(*sent.value)
+        _BEST.clear()  # of other scores, where a task of this worker did not end
         for rows, texts in _chunks(batches, 1):
             e = Encoded(p, texts, n)
-            ids = e.ids.astype("<u4")
-            at = e.doc_ids.tolist()
             score = e.scores()
-            best = [[float(s) - less for less, _ in found] for s, found in zip(score, e.alternatives())]
-            digest = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
+            best, digests, fine = [], [], e.round_trips()
+            for doc, found in enumerate(e.alternatives()):
+                each = [e.segmentation(doc, changed) for _, changed in found]
+                best.append([float(score[doc]) - less for less, _ in found])
+                digests.append([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in each])
+                fine[doc] = fine[doc] and all(e.decodes(changed) for _, changed in found)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(e.doc_ids)), pa.array(digest), pa.array(score), pa.array(best, pa.list_(pa.float64())), pa.array(e.round_trips())],
-                names=["doc_id", "n_pieces", "pieces_sha256", "score", "best_scores", "round_trip"],
+                [rows.column(0), pa.array(np.diff(e.doc_ids)), pa.array([x[0] for x in digests]), pa.array(score), pa.array(best, pa.list_(pa.float64())), pa.array(digests, pa.list_(pa.string())), pa.array(fine)],
+                names=["doc_id", "n_pieces", "pieces_sha256", "score", "best_scores", "best_sha256", "round_trip"],
             )
         _BEST.clear()  # the worker lives on
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, "doc_id long, n_pieces long, pieces_sha256 string, score double, best_scores array<double>, round_trip boolean")
+    return thin.mapInArrow(run, "doc_id long, n_pieces long, pieces_sha256 string, score double, best_scores array<double>, best_sha256 array<string>, round_trip boolean")
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, model: str = MODEL, counts=None) -> DataFrame:
@@ -471,15 +478,17 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     def run(batches):
         p = pieces_of(*sent.value)
+        _BEST.clear()  # of other scores, where a task of this worker did not end
         for rows, texts in _chunks(batches, 1):
             e = Encoded(p, texts, n)
-            score = e.scores()
-            if n == 1:
-                whole = pa.ListArray.from_arrays(pa.array(e.doc_ids, pa.int32()), pa.array(e.ids, pa.int32()))
-                one = pa.StructArray.from_arrays([pa.array(score), whole], fields=list(kind.value_type))
-                out = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int32()), one)
-            else:
-                out = pa.array([[{"score": float(score[k]) - less, "pieces": e.segmentation(k, changed)} for less, changed in found] for k, found in enumerate(e.alternatives())], kind)
+            found = e.alternatives()
+            each = [e.segmentation(doc, changed) for doc, ways in enumerate(found) for _, changed in ways]
+            less = np.array([x for ways in found for x, _ in ways], float)
+            ways = np.array([len(x) for x in found], np.int64)
+            ends = np.cumsum([0, *map(len, each)])
+            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each]), pa.int32()))
+            one = pa.StructArray.from_arrays([pa.array(np.repeat(e.scores(), ways) - less), pieces], fields=list(kind.value_type))
+            out = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *ways]), pa.int32()), one)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(e.doc_ids)), out.cast(kind)], names=["doc_id", "n_pieces", "segmentations"])
         _BEST.clear()  # the worker lives on
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 
@@ -116,3 +117,17 @@ def test_long_unit(pieces):
 def test_whole_corpus_round_trips(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert segment(docs).filter("not round_trip or n_pieces < 1").count() == 0
+
+
+def test_each_of_the_n_best_is_built_and_decodes(spark):
+    """Not only their scores: what segment digests are the pieces that encoded gives, all different, and each decodes to the text."""
+    texts = [*TEXTS, "", None, "thantnteres ouening of internationalisation"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = piece_counts(df)
+    rows = encoded(df, n=3, counts=counts)
+    want = {r.doc_id: [hashlib.sha256(np.array(s.pieces, "<u4").tobytes()).hexdigest() for s in r.segmentations] for r in rows.collect()}
+    got = {r.doc_id: r for r in segment(df, n=3, counts=counts).collect()}
+    assert {k: r.best_sha256 for k, r in got.items()} == want and all((r.round_trip or "▁" in texts[k]) and r.best_sha256[0] == r.pieces_sha256 for k, r in got.items())
+    assert all(len(x) == len(set(x)) for x in want.values()) and len(want[len(texts) - 1]) == 3
+    each = rows.selectExpr("doc_id", "explode(segmentations.pieces) AS p")
+    assert all(r.text == (texts[r.id] or "").replace("▁", " ") for r in decoded(each, "doc_id", "p").collect())
