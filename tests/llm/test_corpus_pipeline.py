@@ -79,3 +79,11 @@ def test_run_end_to_end(spark, docs, tmp_path):
 def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_last_stage_runs_the_whole_method(spark):
+    """Viterbi alone finds the best segmentation; A-star backward gives the ones after it."""
+    df = spark.createDataFrame([(1, "thantnteres ouening of internationalisation")], "doc_id long, text string")
+    (row,) = corpus_pipeline.sentence_pieces(spark, df, "").collect()
+    scores = [s.score for s in row.segmentations]
+    assert len({tuple(s.pieces) for s in row.segmentations}) == 3 and scores == sorted(scores, reverse=True)
