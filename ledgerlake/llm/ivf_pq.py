@@ -11,6 +11,11 @@ For each probed list the inner product of query and centroid plus table look-ups
 estimate all its members; the best `rerank` of them are scored exactly in double precision on the original
 vectors, and the k best of all lists remain.
 
+An exact check follows, as the sample may not show what other rows are like (copies and near copies beyond `rerank`, long vectors, queries far from what was sampled).  The
+k-th score found so far is the bar; a query asks every list whose centroid's product plus its own length times the list's radius reaches the bar, and
+keeps what reaches it there.  By Cauchy and Schwarz nothing that belongs to the k nearest is left out.  Where vectors form clusters these are few lists; where they point
+everywhere alike they are most of them, and the check is a product of matrices, block by block.
+
 Hot lists: a list is cut into blocks of at most about `block_rows` members, and queries of a list into blocks of
 `block_queries`, so a task's work is bounded whatever a vector's frequency; each pair of blocks is scored on
 its own, and its k best per query are all it returns.
@@ -89,6 +94,10 @@ class Quantiser:
         parts = self._parts(x - self.coarse[near])
         return near, np.stack([assign(np.ascontiguousarray(parts[:, j]), b)[0] for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
+    def away(self, x, near):
+        """How far each row (in double precision) is from its centroid."""
+        return np.sqrt(((x - self.coarse[near].astype(np.float64)) ** 2).sum(1)) * (1 + 1e-9)
+
     def tables(self, q):
         """Inner products of each query's sub-vectors with the codebooks: queries x sub x 256."""
         parts = self._parts(q)
@@ -145,6 +154,7 @@ def _score_block(quantiser: Quantiser, k: int, rerank: int):
             estimate = np.repeat(base[a : a + step, None], len(ids), 1)
             for j in range(quantiser.sub):
                 estimate += table[:, j][:, codes[:, j]]
+            estimate[np.isnan(estimate)] = np.inf  # beyond single precision
             estimate[ids[None, :] == qid[a : a + step, None]] = -np.inf
             best = top(estimate, max(rerank, k) + 1)
             for r, cols in enumerate(best):
@@ -159,6 +169,34 @@ def _score_block(quantiser: Quantiser, k: int, rerank: int):
     return score
 
 
+def _check_block(k: int):
+    """The k best members for each query of a block, of those whose score reaches the query's bar."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def check(members: pa.Table, probes: pa.Table) -> pa.Table:
+        if not members.num_rows or not probes.num_rows:
+            return schema.empty_table()
+        ids, x = np.asarray(members["vec_id"]), _matrix(members["vector"])
+        qid, q, bar = np.asarray(probes["query_id"]), _matrix(probes["vector"]), np.asarray(probes["bar"])
+        # products are rounded otherwise than the score
+        low = bar - 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max())
+        out_q, out_v, out_s = [], [], []
+        step = max(1, (4 << 20) // len(ids))
+        for a in range(0, len(qid), step):
+            may = ~(q[a : a + step] @ x.T < low[a : a + step, None])
+            for r in np.flatnonzero(may.any(1)).tolist():
+                cols = np.flatnonzero(may[r])
+                cols = cols[ids[cols] != qid[a + r]]
+                exact = (x[cols] * q[a + r]).sum(1)
+                pick = np.lexsort((ids[cols], -exact))[:k]
+                out_q.append(np.full(len(pick), qid[a + r]))
+                out_v.append(ids[cols[pick]])
+                out_s.append(exact[pick])
+        return pa.table([np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=schema) if out_q else schema.empty_table()
+
+    return check
+
+
 def lists_to_probe(quantiser: Quantiser, x, k: int, recall: float, queries: int = 500) -> int:
     """The least number of lists that hold the share `recall` of the k nearest of some rows of x among the others."""
     q = x[:queries]
@@ -174,7 +212,7 @@ def lists_to_probe(quantiser: Quantiser, x, k: int, recall: float, queries: int
 
 
 def build_index(vectors: DataFrame, n: int, k: int, recall: float, lists: int | None = None, sub: int = 32, most_train: int = 200_000):
-    """(quantiser, lists to probe, rows of list, vec_id, vector, codes)."""
+    """(quantiser, lists to probe, rows of list, vec_id, vector, codes and how far the vector is from its centroid, away)."""
     wanted = lists or max(1, int(math.sqrt(n)))
     train = min(most_train, max(20_000, 20 * wanted))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("vector").toPandas()["vector"]  # bounded by most_train
@@ -185,10 +223,12 @@ def build_index(vectors: DataFrame, n: int, k: int, recall: float, lists: int |
 
     def place(batches):
         for b in batches:
-            near, codes = held.value.encode(_matrix(b.column(1), np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(near), b.column(0), b.column(1), pa.array([r.tobytes() for r in codes], pa.binary())], names=["list", "vec_id", "vector", "codes"])
+            x = _matrix(b.column(1))
+            near, codes = held.value.encode(x.astype(np.float32))
+            codes = pa.array([r.tobytes() for r in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(near), b.column(0), b.column(1), codes, pa.array(held.value.away(x, near))], names=["list", "vec_id", "vector", "codes", "away"])
 
-    return quantiser, probes, vectors.select("vec_id", "vector").mapInArrow(place, "list long, vec_id long, vector array<double>, codes binary")
+    return quantiser, probes, vectors.select("vec_id", "vector").mapInArrow(place, "list long, vec_id long, vector array<double>, codes binary, away double")
 
 
 def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.98, rerank: int = 100, lists: int | None = None, sub: int = 32, most_train: int = 200_000, block_rows: int = 20_000, block_queries: int = 4096) -> DataFrame:
@@ -201,13 +241,13 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         return empty
     quantiser, probes_of, placed = build_index(vectors, n, k, recall, lists, sub, most_train)
     placed = settle(placed, "index")
-    count = np.zeros(len(quantiser.coarse), np.int64)
-    for r in placed.groupBy("list").count().collect():  # a row a list
-        count[r.list] = r["count"]
-    held = spark.sparkContext.broadcast((quantiser, count))
+    count, radius = np.zeros(len(quantiser.coarse), np.int64), np.zeros(len(quantiser.coarse))
+    for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect():  # a row a list
+        count[r.list], radius[r.list] = r.n, r.radius
+    held = spark.sparkContext.broadcast((quantiser, count, radius))
 
     def probe(batches):
-        q, size = held.value
+        q, size, _ = held.value
         for b in batches:
             x = _matrix(b.column(1), np.float32)
             order = np.argsort(-(x @ q.coarse.T), axis=1, kind="stable")
@@ -217,15 +257,33 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             row, col = np.nonzero(take)
             yield pa.RecordBatch.from_arrays([pa.array(order[row, col]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["list", "query_id", "vector"])
 
-    probes = settle(vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(probe, "list long, query_id long, vector array<double>"), "probes")
-    asked = {r.list: r["count"] for r in probes.groupBy("list").count().collect()}
-    shape = [(j, max(1, -(-int(c) // block_rows)), max(1, -(-asked.get(j, 0) // block_queries))) for j, c in enumerate(count)]
-    shape = spark.createDataFrame(shape, "list long, n_blocks int, n_parts int")  # a row a list
-    block = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
-    part = F.pmod(F.xxhash64("query_id"), F.col("n_parts")).cast("int")
-    members = placed.join(F.broadcast(shape), "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), "vec_id", "vector", "codes")
-    asks = probes.join(F.broadcast(shape), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), part.alias("part"), "query_id", "vector")
-    keys = ["list", "block", "part"]
-    hits = members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_score_block(quantiser, k, rerank), _HIT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def check(batches):
+        q, size, wide = held.value
+        centre = q.coarse.astype(np.float64)
+        room = wide + 1e-9 * np.sqrt((centre * centre).sum(1))
+        for b in batches:
+            x = _matrix(b.column(1))
+            reach = x @ centre.T + np.sqrt((x * x).sum(1))[:, None] * room
+            row, col = np.nonzero((size > 0) & ~(reach < np.asarray(b.column(2))[:, None]))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(col), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["list", "query_id", "vector", "bar"])
+
+    def best(probes: DataFrame, score, columns: list[str]) -> DataFrame:
+        probes = settle(probes, "probes")
+        asked = {r.list: r["count"] for r in probes.groupBy("list").count().collect()}
+        shape = [(j, max(1, -(-int(c) // block_rows)), max(1, -(-asked.get(j, 0) // block_queries))) for j, c in enumerate(count)]
+        shape = spark.createDataFrame(shape, "list long, n_blocks int, n_parts int")  # a row a list
+        block = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
+        part = F.pmod(F.xxhash64("query_id"), F.col("n_parts")).cast("int")
+        members = placed.join(F.broadcast(shape), "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), *columns)
+        asks = probes.join(F.broadcast(shape), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), part.alias("part"), "query_id", "vector", *probes.columns[3:])
+        keys = ["list", "block", "part"]
+        hits = members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, _HIT)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "vector")
+    found = best(queries.mapInArrow(probe, "list long, query_id long, vector array<double>"), _score_block(quantiser, k, rerank), ["vec_id", "vector", "codes"])
+    bars = settle(found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar")), "bars")
+    open_ = queries.join(bars, "vec_id", "left").select("vec_id", "vector", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    return best(open_.mapInArrow(check, "list long, query_id long, vector array<double>, bar double"), _check_block(k), ["vec_id", "vector"])

@@ -78,3 +78,13 @@ def test_edges(spark):
 def test_parts():
     assert top(np.array([[1.0, 3, 3, 2, 3]]), 2).tolist() == [[1, 2]]
     assert len(kmeans(np.ones((50, 3), np.float32), 8, 3, 1)) == 1
+
+
+def test_rows_that_a_sample_does_not_show(spark):
+    """Near copies that share their codes, far beyond what is reranked, and long vectors away from all others."""
+    rnd = np.random.default_rng(12)
+    x = np.concatenate([rnd.normal(size=(3, 16))[rnd.integers(0, 3, 4000)] + 1e-4 * rnd.normal(size=(4000, 16)), rnd.normal(size=(2000, 16)), 50 * rnd.normal(size=(40, 16))])
+    x = x[rnd.permutation(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(search(df)), brute(np.arange(len(x)), x)
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
