@@ -118,3 +118,9 @@ def test_syndication_keeps_rows_and_columns(spark):
     got = C.syndication(df, "block", "page", F.col("sents"), 0.7)
     assert got.columns == [*df.columns, "origin_rank"]
     assert {(r.block, r.page): r.origin_rank for r in got.collect()} == {(b, p): low.get((b, p), p) for b, p, *_ in rows}
+
+
+def test_a_pairing_of_pages_is_never_broadcast(spark):
+    firsts = spark.createDataFrame([(1, k, 1, [f"a sentence number {j} of some length" for j in range(k, k + 9)]) for k in range(3)], "block long, rep long, members long, sents array<string>")
+    plan = K.containment_pairs(firsts, 0.5)
+    assert plan.count() == 3 and "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
