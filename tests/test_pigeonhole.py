@@ -54,3 +54,19 @@ def test_pairs_and_greedy_against_brute_force(spark):
         if not any(a in kept for a, b in want if b == k):
             kept.add(k)
     assert {r.id for r in C.greedy_dedup(df, "id", "text", 0.85).filter("kept").collect()} == kept
+
+
+def test_pairs_are_scored_in_slices(spark, monkeypatch):
+    # 20 sets that differ in one token are 190 pairs; no slice takes the sets of many more pairs along than there are sets
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y z w{k}") for k in range(20)], "id long, text string")
+    cut, sizes = C._cut, []
+
+    def counted(x, free=False):
+        out = cut(x, free)
+        if "j" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "_cut", counted)
+    assert C.similar_pairs(df, "id", "text", 0.85).count() == 20 * 19 // 2 == sum(sizes)
+    assert len(sizes) == 10 and max(sizes) < 50
