@@ -172,3 +172,26 @@ def test_relational(spark):
     assert J.upsert(a, spark.createDataFrame([(2, "n"), (5, "m")], "k int, v string"), "k").count() == 3
     pick = J.budgeted_pick(spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 4)], "g int, o int, c int"), "g", "o", "c", 10)
     assert [r.o for r in pick.orderBy("o").collect()] == [1, 3]
+
+
+def test_trigram_pairs_by_blocks():
+    """The bound of a product of matrices loses no pair; blocks of several products and a block with itself, against plain sets."""
+    from ledgerlake.operators import trigrams as T
+
+    rnd = random.Random(7)
+    texts = ["", "a", "ab", "abc", "é😀x"] + ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(5, 60))) for _ in range(80)]
+    texts += [t[:-2] + rnd.choice("xyz") + t[-1:] for t in texts[20:60]]
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} if len(t) > 2 else {t} for t in texts]
+    df = {g: sum(g in s for s in grams) for g in set().union(*grams)}
+    w = {g: np.log(len(texts) / n) for g, n in df.items()}
+    keys = {g: int(T.gram_keys(g)[0]) for g in df}
+    assert len(set(keys.values())) == len(df) and [sorted(map(keys.get, s)) for s in grams] == [T.gram_keys(t).tolist() for t in texts]
+    vocabulary = np.array(sorted(keys.values()), np.uint64)
+    idf = np.array([w[g] for g, _ in sorted(keys.items(), key=lambda kv: kv[1])])
+    sim = lambda a, b: round(sum(map(w.get, grams[a] & grams[b])) / sum(map(w.get, grams[a] | grams[b])), 9)
+    T.ROWS, rows = 16, T.ROWS
+    x, y = T._Block(texts, vocabulary, idf), T._Block(texts[30:], vocabulary, idf)
+    within, across = (sorted(zip(a.tolist(), b.tolist())) for a, b, _ in (T.block_pairs(x, x, 0.5), T.block_pairs(x, y, 0.5)))
+    T.ROWS = rows
+    assert within == [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sim(a, b) >= 0.5] and len(within) > 20
+    assert across == [(a, b) for a in range(len(texts)) for b in range(len(texts) - 30) if sim(a, b + 30) >= 0.5]
