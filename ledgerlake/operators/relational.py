@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,17 +91,18 @@ def best_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_
     exact: equal texts, exact_multiclaim if several are; near: similarity of `near` and more; ambiguous: several share the
     greatest of those; claim_mismatch: candidates, none near; no_key_match: none.  Only the first three name a right_id.
     """
-    a = left.select(F.col(left_id).alias("a"), F.col(key).alias("k"), F.col(left_text).alias("ta"))
-    # copies of a text are one row on either side, so that a group of them is compared once
-    texts = a.filter("k is not null").select("k", "ta").distinct()
-    b = right.groupBy(F.col(key).alias("k"), F.col(right_text).alias("tb")).agg(F.min(right_id).alias("b"), F.count(F.lit(1)).alias("n"))
-    pairs = texts.join(b, "k").select("k", "ta", "b", "n", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)).alias("same"), F.round(X.jaccard(X.tokens("ta"), X.tokens("tb")), 9).alias("j"))
-    w = Window.partitionBy("k", "ta")
+    a = left.select(F.col(left_id).alias("a"), F.col(key).alias("k"), F.sha2(left_text, 256).alias("mark"))
+    # tokens are taken once a text; what follows carries marks and numbers, and copies of a text are one row of each pair
+    texts = left.select(F.col(key).alias("k"), F.col(left_text).alias("ta"), F.sha2(left_text, 256).alias("mark"), X.tokens(left_text).alias("sa")).filter("k is not null")
+    b = right.groupBy(F.col(key).alias("k"), F.col(right_text).alias("tb")).agg(F.min(right_id).alias("b"), F.count(F.lit(1)).alias("n")).withColumn("sb", X.tokens("tb"))
+    met = texts.join(b, "k").select("k", "mark", "b", "n", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)).alias("same"), F.round(X.jaccard(F.col("sa"), F.col("sb")), 9).alias("j"))
+    pairs = met.groupBy("k", "mark", "b").agg(F.max("n").alias("n"), F.max("same").alias("same"), F.max("j").alias("j"))
+    w = Window.partitionBy("k", "mark")
     ranked = pairs.select("*", F.row_number().over(w.orderBy(F.desc("same"), F.desc("j"), "b")).alias("turn"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).over(w).alias("n_same"), F.max("j").over(w).alias("top"))
     tied = F.sum(F.when(F.col("j") == F.col("top"), F.col("n")).otherwise(0)).over(w)
-    top = ranked.withColumn("tied", tied).filter("turn = 1").select(F.col("k").alias("tk"), F.col("ta").alias("tt"), "b", "j", "n_same", "tied")
+    top = ranked.withColumn("tied", tied).filter("turn = 1").select(F.col("k").alias("tk"), F.col("mark").alias("tm"), "b", "j", "n_same", "tied")
     status = F.when(F.col("b").isNull(), "no_key_match").when(F.col("n_same") > 1, "exact_multiclaim").when(F.col("n_same") == 1, "exact").when(F.col("j") < near, "claim_mismatch").when(F.col("tied") > 1, "ambiguous").otherwise("near")
-    out = a.join(top, (F.col("k") == F.col("tk")) & F.col("ta").eqNullSafe(F.col("tt")), "left").withColumn("status", status)
+    out = a.join(top, (F.col("k") == F.col("tk")) & F.col("mark").eqNullSafe(F.col("tm")), "left").withColumn("status", status)
     good = F.col("status").isin("exact", "exact_multiclaim", "near")
     return out.select(F.col("a").alias(left_id), F.when(good, F.col("b")).alias(right_id), F.col("j").alias("jaccard"), "status")
 
@@ -154,17 +156,24 @@ def domain_suffix_semi(df: DataFrame, host_col: str, names: DataFrame, anti: boo
 
 
 def budgeted_pick(df: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Rows taken in order while they fit the budget of their group; one that does not fit is skipped, and a later one may."""
-    schema = df.schema
+    """Rows taken in order while they fit the budget of their group; one that does not fit is skipped, and a later one may.
 
-    def pick(pdf):
-        left, take = budget, []
-        for c in pdf.sort_values(order)[cost]:
-            take.append(c <= left)
-            left -= c if c <= left else 0
-        return pdf.sort_values(order)[take]
+    Rows stream through a task sorted by group and order, with what is left of one budget at hand: no group is held, however large.
+    """
 
-    return df.groupBy(group).applyInPandas(pick, schema)
+    def pick(batches):
+        at, left = object(), budget
+        for batch in batches:
+            take = []
+            for g, c in zip(batch.column(group).to_pylist(), batch.column(cost).to_pylist()):
+                if g != at:
+                    at, left = g, budget
+                fits = c is not None and c <= left
+                take.append(fits)
+                left -= c if fits else 0
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+    return df.repartition(group).sortWithinPartitions(F.col(group), F.col(order).asc_nulls_last()).mapInArrow(pick, df.schema)
 
 
 def minmax_rank(df: DataFrame, recency: str, likes: str, key: str) -> DataFrame:

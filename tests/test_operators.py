@@ -195,3 +195,20 @@ def test_trigram_pairs_by_blocks():
     T.ROWS = rows
     assert within == [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sim(a, b) >= 0.5] and len(within) > 20
     assert across == [(a, b) for a in range(len(texts)) for b in range(len(texts) - 30) if sim(a, b + 30) >= 0.5]
+
+
+def test_budgets_are_streamed(spark):
+    """Rows of a group pass in order, none is held: 3 and 2 fit 5, what is too dear or has no cost is skipped, ids may be null."""
+    df = spark.createDataFrame([("a", 1, 3), ("a", 2, 4), ("a", 3, None), ("a", 4, 2), ("a", 5, 1), ("b", 1, 6), ("b", 2, 5), (None, 1, 5), (None, 2, 1)], "g string, o int, c int")
+    got = J.budgeted_pick(df, "g", "o", "c", 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, 3), ("a", 4, 2), ("b", 2, 5), (None, 1, 5)], key=str)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
+def test_best_match_moves_marks_instead_of_texts(spark):
+    left = spark.createDataFrame([(1, "k", "a b c"), (2, "k", "a b c"), (3, "k", "x"), (4, "z", "a"), (5, None, "a"), (6, "k", None)], "id int, k string, t string")
+    right = spark.createDataFrame([(7, "k", "a b c"), (8, "k", "c b a")], "rid int, k string, r string")
+    found = J.best_match(left, right, "k", "id", "rid", "t", "r")
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, 7, 1.0, "exact"), (2, 7, 1.0, "exact"), (3, None, 0.0, "claim_mismatch"), (4, None, None, "no_key_match"), (5, None, None, "no_key_match"), (6, None, 0.0, "claim_mismatch")]
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("ta#" in line for line in windows)
