@@ -1,6 +1,7 @@
 """Function tables with expected values."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,19 @@ def test_hosts_by_hand(spark):
     assert got == hand
     row = spark.range(1).select(U.review_url(F.lit("https://m.site.org/a/?via=x&id=7&cmpid=1&SMID=2")).alias("r"), U.post_url(F.lit("https://fb.com/p?id=1&__tn__=R&_rdr=1")).alias("p"), X.word_shingles(F.lit("a b c d e f g h i")).alias("s"), X.word_shingles(F.lit("a b")).alias("n")).first()
     assert row.r == "site.org/a?id=7" and row.p == "https://fb.com/p?id=1" and row.s == ["a b c d e f g h", "b c d e f g h i"] and row.n == []
+
+
+def test_norms_from_the_beginning_alone(spark):
+    """Long texts: what the beginning gives is what the whole gives, also with a URL, blanks or a long word at its end; else the whole is read."""
+    word = "Abc, dé'f-g " * 60
+    texts = [word * 10, word[:1190] + " https://a.b/" + "x" * 3000 + " " + word, "x" * 4000 + " y", " " * 5000 + word, "!? " * 2000 + word, "Σ" * 3000 + " " + word, "", None, word[:400]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+    def plain(t, keep, limit):
+        t = re.sub(r"https?://\S+", "", (t or "").lower())
+        return re.sub(r"\s+", " ", re.sub(rf"[^a-z0-9_\s'{keep}-]", " ", t)).strip()[:limit]
+
+    for r in df.select("id", X.norm("t").alias("n"), X.norm_claim("t").alias("c"), X.norm_template("t").alias("p")).collect():
+        t = texts[r.id]
+        assert (r.n, r.c) == (plain(t, X.ACCENTED, 500), plain(t, "", 400))
+        assert r.p == re.sub(r"[^a-z0-9_]+", " ", (t or "").lower()).strip()[:400]
