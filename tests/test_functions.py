@@ -104,3 +104,12 @@ def test_norms_from_the_beginning_alone(spark):
         t = texts[r.id]
         assert (r.n, r.c) == (plain(t, X.ACCENTED, 500), plain(t, "", 400))
         assert r.p == re.sub(r"[^a-z0-9_]+", " ", (t or "").lower()).strip()[:400]
+
+
+def test_trigrams_are_counted_without_their_strings(spark):
+    from ledgerlake.operators import trigrams as W
+
+    texts = ["", None, "a", "ab", "abc", "aaaa", "  a  b ", "é😀x é😀x", "abcabcabd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [tuple(r) for r in df.orderBy("id").select(W.gram_count(X.squeeze("t")), F.size(X.char_trigrams("t"))).collect()]
+    assert all(n == m for n, m in got) and got[0][0] == 1 and got[5][0] == 1 and got[8][0] == 4
