@@ -152,3 +152,15 @@ def test_leak_tag_by_brute_force(spark):
     want = {k: any(near(words(t), words(b)) for (b,) in refs) for k, t in docs}
     got = {x.id: x.leak for x in C.leak_tag(spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(refs, "ref string"), "id", "t", "ref").collect()}
     assert got == want and 0 < sum(want.values()) < 150
+
+
+def test_leak_tag_carries_no_sets_to_pairs(spark):
+    """At a threshold of 0.3 all items meet all texts: what leaves a task is a row an item at most."""
+    r = random.Random(4)
+    text = lambda n: " ".join(r.sample([f"w{k}" for k in range(40)], n))
+    docs, refs = [(k, text(r.randrange(1, 30))) for k in range(700)], [(text(r.randrange(1, 30)),) for _ in range(600)]
+    near = lambda a, b: round(len(a & b) / len(a | b), 9) >= 0.3
+    sets = [set(b.split()) for (b,) in refs]
+    got = C.leak_tag(spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(refs, "ref string"), "id", "t", "ref", 0.3)
+    assert {x.id: x.leak for x in got.collect()} == {k: any(near(set(t.split()), b) for b in sets) for k, t in docs}
+    assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()
