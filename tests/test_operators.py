@@ -212,3 +212,19 @@ def test_best_match_moves_marks_instead_of_texts(spark):
     assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, 7, 1.0, "exact"), (2, 7, 1.0, "exact"), (3, None, 0.0, "claim_mismatch"), (4, None, None, "no_key_match"), (5, None, None, "no_key_match"), (6, None, 0.0, "claim_mismatch")]
     windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
     assert windows and not any("ta#" in line for line in windows)
+
+
+def test_sentences_of_a_page_are_shuffled_once_and_without_text(spark):
+    import math
+
+    rows = [(1, 0, "Alpha beta gamma"), (1, 1, "Alpha delta"), (1, 1, "Alpha again"), (1, 2, "of it"), (2, 0, "Beta"), (None, 0, "Alpha")]
+    df = spark.createDataFrame(rows, "p int, pos int, s string").repartition(3)
+    scored = P.bm25_sentences(df.withColumn("size", F.length("s")), "p", "pos", "s", F.array(F.lit("alpha"), F.lit("beta")))
+    assert scored.columns == ["p", "pos", "s", "size", "bm25"]
+    part = lambda n, df, size, avg: math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * size / avg))
+    two = 2 * part(4, 3, 2, 1.75)
+    want = {(1, 0, 16): part(4, 3, 3, 1.75) + part(4, 1, 3, 1.75), (1, 1, 11): two, (1, 2, 5): 0.0, (2, 0, 4): part(1, 1, 1, 1), (None, 0, 5): part(1, 1, 1, 1)}
+    got = scored.collect()
+    assert len(got) == 6 and all(r.bm25 == pytest.approx(want[r.p, r.pos, r.size]) for r in got)
+    plan = P.selected_regions(scored, "p", "pos", F.col("size"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" not in plan
