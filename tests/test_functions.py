@@ -113,3 +113,21 @@ def test_trigrams_are_counted_without_their_strings(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = [tuple(r) for r in df.orderBy("id").select(W.gram_count(X.squeeze("t")), F.size(X.char_trigrams("t"))).collect()]
     assert all(n == m for n, m in got) and got[0][0] == 1 and got[5][0] == 1 and got[8][0] == 4
+
+
+def test_texts_are_objects_a_few_rows_at_a_time(spark):
+    """A batch of Arrow's is cut into slices: results are those of single rows, nulls and empty batches included."""
+    import pyarrow as pa
+
+    seen = []
+    texts = [None, "", "A &amp; B", *(f"line {k}" for k in range(X.ROWS * 2))]
+    got = X.by_rows(lambda a, b: seen.append(1) or (None if a is None else a * b), pa.string(), pa.array(texts), pa.array([2] * len(texts)))
+    assert got.to_pylist() == [None if t is None else t * 2 for t in texts] and X.by_rows(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    out = df.select("t", X.clean_text_udf("t").alias("c"), X.sentences("t").alias("s")).collect()
+    assert [r.c for r in out] == [t and t.replace("&amp;", "&") for t in texts] and [r.s for r in out] == [[t] if t else [] for t in texts]
+
+
+def test_sentences_keep_the_digits_of_their_place(spark):
+    df = spark.createDataFrame([("In year 0\n 1 of 11 \n2 and 2 ",)], "t string")
+    assert df.select(X.sentences("t").alias("s")).first().s == ["In year 0", "1 of 11", "2 and 2"]
