@@ -150,3 +150,17 @@ def test_snippets_against_a_replay(spark):
     df = spark.createDataFrame(r.sample(rows, len(rows)), "claim int, at int, snippet string")
     assert sorted(tuple(x) for x in G.distinct_snippets(df, "claim", "at", "snippet").collect()) == want and len(want) < len(rows)
     assert G.distinct_snippets(df.limit(0), "claim", "at", "snippet").count() == 0
+
+
+@pytest.mark.parametrize("code_bar", [True, False])
+def test_posts_stream_through_sorted_rows(spark, code_bar):
+    """Posts that go on over slices and batches, one of them without an id: the ledger of each is its own."""
+    status = ("supported", "refuted", "open", "conflicting")
+    rows = [row(k, status[k * (p or 5) % 4], str(k % 3 + 1), p, targeted=k % 2 == 0, met_supported=k % 3 == 0, any_refuted=True) for p in (None, 1, 2, 3) for k in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = []
+    for p in (None, 1, 2, 3):
+        want += G.play([r.asDict() for r in df.collect() if r.post_id == p], {}, code_bar)
+    out = G.transitions(df, code_bar)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().sparkPlan().toString()
