@@ -124,3 +124,10 @@ def test_a_pairing_of_pages_is_never_broadcast(spark):
     firsts = spark.createDataFrame([(1, k, 1, [f"a sentence number {j} of some length" for j in range(k, k + 9)]) for k in range(3)], "block long, rep long, members long, sents array<string>")
     plan = K.containment_pairs(firsts, 0.5)
     assert plan.count() == 3 and "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_are_hashes_after_texts_are_read_once(spark):
+    df = spark.createDataFrame([(1, k, [f"Sentence number {j} of a page, long enough." for j in range(k, k + 3)], None, None) for k in range(4)], SCHEMA)
+    firsts, members = K.representatives(df, "block", "page", F.col("sents"))
+    assert dict(firsts.dtypes)["sents"] == "array<bigint>" and firsts.count() == 4
+    assert not any("lower" in x._jdf.queryExecution().optimizedPlan().toString() for x in (firsts, members))
