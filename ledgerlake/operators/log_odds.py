@@ -19,16 +19,38 @@ FLAGS = ("5", "4", "3", "X", "I", "2", "1")
 VOICES = {"5": "t", "4": "t", "1": "f", "2": "f"}
 
 
-def flag_counts(claims: DataFrame, reads: DataFrame, slots: int | None = 10, flags=FLAGS, silent: str = "I") -> DataFrame:
-    """(claims' columns, flag, n) for every claim and flag; missing reads up to `slots` count as silent ones.
+def flag_table(claims: DataFrame, reads: DataFrame, slots: int | None = 10, flags=FLAGS, silent: str = "I") -> DataFrame:
+    """(claims' columns, n) for every claim: its counts in the order of flags; missing reads up to `slots` count as silent ones.
 
     Claims without reads stay; reads above `slots` count and are not padded.
     """
     seen = reads.groupBy("claim_id").agg(*[F.count_if(F.col("flag") == f).alias(f"n{k}") for k, f in enumerate(flags)], F.count(F.lit(1)).alias("n_reads"))
     wide = claims.join(seen, "claim_id", "left")
     pad = F.greatest(F.lit(0), F.lit(slots or 0) - F.coalesce("n_reads", F.lit(0)))
-    each = [F.struct(F.lit(f).alias("flag"), (F.coalesce(f"n{k}", F.lit(0)) + (pad if f == silent and slots else 0)).cast("long").alias("n")) for k, f in enumerate(flags)]
-    return wide.select(*claims.columns, F.explode(F.array(*each)).alias("x")).select(*claims.columns, "x.flag", "x.n")
+    return wide.select(*claims.columns, F.array(*[(F.coalesce(f"n{k}", F.lit(0)) + (pad if f == silent and slots else 0)).cast("long") for k, f in enumerate(flags)]).alias("n"))
+
+
+def _spread(table: DataFrame, names, n) -> DataFrame:
+    """(others, flag, n): a row for each name and its number."""
+    others = [c for c in table.columns if c != "n"]
+    return table.select(*others, F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), x.alias("n")) for f, x in zip(names, n)])).alias("x")).select(*others, "x.flag", "x.n")
+
+
+def _merged(table: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, n): rows of one claim are one; a row a claim is grouped, not one a flag or fold."""
+    return table.groupBy(*keys).agg(F.array(*[F.sum(F.col("n")[k]) for k in range(size)]).alias("n"))
+
+
+def flag_counts(claims: DataFrame, reads: DataFrame, slots: int | None = 10, flags=FLAGS, silent: str = "I") -> DataFrame:
+    """(claims' columns, flag, n) for every claim and flag: flag_table with a row a flag."""
+    return _spread(flag_table(claims, reads, slots, flags, silent), flags, [F.col("n")[k] for k in range(len(flags))])
+
+
+def voice_counts(table: DataFrame, flags=FLAGS) -> DataFrame:
+    """(claims' columns, flag, n) of flag_table with three voices: t (supports), f (refutes), e (neither); added up within a claim's row."""
+    table = _merged(table, [c for c in table.columns if c != "n"], len(flags))
+    part = lambda v: reduce(Column.__add__, [F.col("n")[k] for k, f in enumerate(flags) if VOICES.get(f, "e") == v])
+    return _spread(table, "tfe", [part(v) for v in "tfe"])
 
 
 def to_voices(counts: DataFrame) -> DataFrame:
@@ -113,11 +135,13 @@ def miss_cut(points: DataFrame, budget: float, by: tuple[str, ...] = ()) -> Data
     return points.groupBy(*by).agg(F.min(F.when(1 - F.col("recall") <= budget, F.col("threshold"))).alias("threshold"))
 
 
-def nested_operating_point(counts: DataFrame, budget: float = 0.02) -> DataFrame:
-    """(fold, threshold, n_true, n_false, flagged_true, flagged_false): thresholds from inner folds, applied to the outer one.
+def nested_operating_point(table: DataFrame, budget: float = 0.02, flags=FLAGS) -> DataFrame:
+    """(fold, threshold, n_true, n_false, flagged_true, flagged_false) of flag_table: thresholds from inner folds, applied to the outer one.
 
-    For outer fold k and inner fold j, weights come from the totals without folds k and j.
+    For outer fold k and inner fold j, weights come from the totals without folds k and j.  A claim is scored within its row, once for each
+    outer fold.
     """
+    counts = _spread(table, flags, [F.col("n")[k] for k in range(len(flags))])
     side = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
     own = counts.filter("not mid").groupBy("fold", "flag").agg(side(1).alias("t"), side(0).alias("f"))
     all_ = own.groupBy("flag").agg(F.sum("t").alias("at"), F.sum("f").alias("af"))
@@ -127,7 +151,9 @@ def nested_operating_point(counts: DataFrame, budget: float = 0.02) -> DataFrame
     pairs = pairs.select("outer", "inner", "flag", (F.col("at") - F.col("kt") - F.when(same, 0).otherwise(F.col("jt"))).alias("t"), (F.col("af") - F.col("kf") - F.when(same, 0).otherwise(F.col("jf"))).alias("f"))
     w = Window.partitionBy("outer", "inner")
     weights = pairs.select("outer", "inner", "flag", _weight("t", "f", F.count("flag").over(w), F.sum("t").over(w), F.sum("f").over(w)).alias("weight"))
-    scored = counts.withColumnRenamed("fold", "inner").join(F.broadcast(weights), ["inner", "flag"]).groupBy("claim_id", "y", "inner", "outer").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    beside = weights.groupBy("inner", "outer").agg(*[F.max(F.when(F.col("flag") == f, F.col("weight"))).alias(f"w{k}") for k, f in enumerate(flags)])
+    total = reduce(Column.__add__, [F.col("n")[k] * F.coalesce(f"w{k}", F.lit(0.0)) for k in range(len(flags))])
+    scored = _merged(table, ["claim_id", "y", "fold"], len(flags)).withColumnRenamed("fold", "inner").join(F.broadcast(beside), "inner").select("claim_id", "y", "inner", "outer", total.alias("score"))
     inner = operating_points(scored.filter("inner <> outer"), ("outer",))
     cut = recall_at_fpr(inner, budget, ("outer",)).select("outer", "threshold")
     held = scored.filter("inner = outer").join(F.broadcast(cut), "outer")

@@ -45,6 +45,11 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return L.flag_counts(claims(spark, d), flags_only(spark, d))
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as one row a claim."""
+    return L.flag_table(claims(spark, d), flags_only(spark, d))
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
     return L.out_of_fold(counts(spark, d))
 
@@ -96,7 +101,7 @@ def flag_counts(spark, d):
 @query(f"""
     WITH {COUNTS_SQL} SELECT claim_id, CASE WHEN flag IN ('5', '4') THEN 't' WHEN flag IN ('1', '2') THEN 'f' ELSE 'e' END AS voice, cast(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL""")
 def voice_counts(spark, d):
-    return L.to_voices(counts(spark, d)).select("claim_id", F.col("flag").alias("voice"), "n")
+    return L.voice_counts(counted(spark, d)).select("claim_id", F.col("flag").alias("voice"), "n")
 
 
 _SIDES = "SELECT flag, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS t, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS f FROM counts WHERE NOT mid GROUP BY flag"
@@ -112,7 +117,7 @@ def graded_fit(spark, d):
     s AS (SELECT flag, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS t, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS f FROM v GROUP BY flag)
     SELECT flag, round({FIT_SQL}, 6) AS weight FROM s WINDOW w AS ()""")
 def three_voice_fit(spark, d):
-    return L.fit_empty_safe(L.to_voices(counts(spark, d))).select("flag", F.round("weight", 6).alias("weight"))
+    return L.fit_empty_safe(L.voice_counts(counted(spark, d))).select("flag", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
@@ -179,7 +184,7 @@ cut AS (SELECT outr, threshold FROM pts WHERE fpr <= 0.02 AND recall > 0 QUALIFY
       count(*) FILTER (y = 1 AND score <= threshold) AS flagged_true, count(*) FILTER (y = 0 AND score <= threshold) AS flagged_false
     FROM sc s JOIN cut c ON s.outr = c.outr WHERE innr = s.outr GROUP BY s.outr, threshold""")
 def nested_threshold(spark, d):
-    return L.nested_operating_point(counts(spark, d)).withColumn("threshold", F.round("threshold", 6))
+    return L.nested_operating_point(counted(spark, d)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query(f"""

@@ -228,3 +228,16 @@ def test_sentences_of_a_page_are_shuffled_once_and_without_text(spark):
     assert len(got) == 6 and all(r.bm25 == pytest.approx(want[r.p, r.pos, r.size]) for r in got)
     plan = P.selected_regions(scored, "p", "pos", F.col("size"))._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_voices_and_nested_scores_are_made_within_a_claims_row(spark):
+    rng = random.Random(5)
+    claims = spark.createDataFrame([(k, k % 2, k % 7 == 0, k % 3) for k in (*range(60), 4)], "claim_id int, y int, mid boolean, fold int")
+    reads = spark.createDataFrame([(rng.randrange(50), rng.choice([*L.FLAGS, "odd"])) for _ in range(400)], "claim_id int, flag string")
+    table, counts = L.flag_table(claims, reads), L.flag_counts(claims, reads)
+    voices = L.voice_counts(table)
+    assert sorted(map(tuple, voices.collect())) == sorted(map(tuple, L.to_voices(counts).collect()))
+    assert not any("HashAggregate(keys=[claim_id" in line and "flag" in line.split("functions")[0] for line in voices._jdf.queryExecution().sparkPlan().toString().splitlines())
+    nested = L.nested_operating_point(table)
+    keys = [line for line in nested._jdf.queryExecution().sparkPlan().toString().splitlines() if "HashAggregate(keys=[" in line]
+    assert nested.count() == 3 and keys and not any("claim_id" in line and "outer" in line.split("functions")[0] for line in keys)
