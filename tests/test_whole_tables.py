@@ -33,6 +33,21 @@ def test_note_clusters_read_whole_pages(spark, tmp_path):
     assert {r.page_id: r.cluster_id for r in QUERIES["note_clusters"](spark, d).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
 
 
+def test_note_clusters_by_cited_pages(spark, tmp_path):
+    """Pages of a similarity between the two bars are one cluster if they link to the same two pages, and only then."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+    story = words[:40]
+    page = lambda k, own, links: " ".join(own + words[60 + 12 * k : 72 + 12 * k]) + " " + " ".join(f"<a href={x}>read</a>" for x in links)
+    same = ["'/one/page-of-record?x=1'", '"https://www.other.example/second-page#top"']
+    rows = [(0, "http://site.example/en/1", page(0, story[:32], same)), (1, "http://site.example/en/2", page(1, story[:32], same))]
+    rows += [(2, "http://site.example/en/3", page(2, story[:32], same[:1])), (3, "http://third.example/en/4", page(3, story[:32], same))]
+    rows += [(k, f"http://site.example/{k}", page(k, [], same)) for k in range(4, 25)]
+    d = put(spark, tmp_path, "pages", rows, "page_id long, url string, html string")
+    got = {x.page_id: x.cluster_id for x in QUERIES["note_clusters"](spark, d).collect()}
+    assert got == {k: 0 if k == 1 else k for k in range(25)}
+
+
 def test_numbered_block_takes_late_keywords(spark, tmp_path):
     text = " ".join("Red foxes often run home." for _ in range(12)) + " " + " ".join(f"Chapter {k} brings " + " ".join(f"word{k}x{j}" for j in range(12)) + "." for k in range(40))
     d = put(spark, tmp_path, "documents", [(1, text)], "doc_id long, text string")
