@@ -108,6 +108,59 @@ def test_clusters_of_common_tokens(spark):
     assert got == dict(enumerate(lead)) and lead[:60] == [0] * 60
 
 
+def test_clusters_pass_on_a_forest(spark, monkeypatch):
+    """Sixty near copies in blocks of ten texts: a task's edges join its texts, they are not a row a pair."""
+    from ledgerlake.operators import trigrams
+
+    cut, sizes = C._cut, []
+
+    def counted(x, free=False):
+        out = cut(x, free)
+        if out.columns[:2] == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "_cut", counted)
+    monkeypatch.setattr(trigrams, "TEXTS", 30)
+    texts = [f"doctors were told that vaccines contain microchips since spring {k}" for k in range(60)] + [f"{'z' * k} other" for k in range(1, 20)]
+    got = {r.id: r.cluster_id for r in C.cluster(spark.createDataFrame(list(enumerate(texts)), "id long, norm string")).collect()}
+    assert all(got[k] == 0 for k in range(60)) and all(got[k] >= 60 for k in range(60, 79))
+    assert 59 <= sum(sizes) <= 6 * 60
+
+
+def test_clusters_by_brute_force(spark, monkeypatch):
+    """Texts of any likeness, copies with pages of their own, blocks of twenty: both kinds of edges."""
+    from ledgerlake.operators import trigrams
+
+    monkeypatch.setattr(trigrams, "TEXTS", 20)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 7))) for _ in range(150)]
+    texts = [" ".join(rnd.sample(words, rnd.randint(3, 12))) for _ in range(25)]
+    for _ in range(95):
+        own = rnd.choice(texts).split()
+        texts.append(" ".join(w if rnd.random() > 0.35 else rnd.choice(words) for w in own))
+    texts += texts[:6] + ["", "", "ab"]
+    cited = [set(rnd.sample(["p", "q", "r", "s"], rnd.randint(0, 3))) for _ in texts]
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} if len(t) > 2 else {t} for t in texts]
+    w = {g: np.log(len(texts) / sum(g in s for s in grams)) for g in set().union(*grams)}
+    tokens = [{x for x in t.split() if len(x) > 3} for t in texts]
+    df = {x: sum(x in s for s in tokens) for x in set().union(*tokens)}
+    lead, kinds = list(range(len(texts))), set()
+    for a in range(len(texts)):
+        for b in range(a):
+            both, union = tokens[a] & tokens[b], sum(map(w.get, grams[a] | grams[b]))
+            sim = round(sum(map(w.get, grams[a] & grams[b])) / union, 9) if union else 0
+            few, rare = any(df[x] <= 4 for x in both), [x for x in both if df[x] <= 7]
+            near, by_page = sim >= 0.58 and (len(both) >= 2 or few), sim >= 0.25 and len(cited[a] & cited[b]) >= 2 and (few or len(rare) >= 2)
+            if texts[a] == texts[b] or near or by_page:
+                kinds.add((near, by_page))
+                old, new = sorted((lead[a], lead[b]))[::-1]
+                lead = [new if x == old else x for x in lead]
+    urls = spark.createDataFrame([(k, x) for k, s in enumerate(cited) for x in s], "id long, key string")
+    got = {r.id: r.cluster_id for r in C.cluster(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), urls=urls, ultra=4, cap=7).collect()}
+    assert got == dict(enumerate(lead)) and len(set(lead)) > 10 and {(True, False), (False, True)} <= kinds
+
+
 def test_clusters_cited_together(spark):
     """Fifty notes that cite the same two pages: no hub is needed for an edge."""
     texts = [f"{'x' * k} apples" for k in range(1, 51)]
