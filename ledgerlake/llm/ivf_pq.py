@@ -7,18 +7,18 @@ that residuals are cut into.  Every vector is then indexed: it goes to the list
 A query probes the lists whose centroids have the greatest inner product with it.  How many is measured and not given: up to 500 vectors of the sample
 look for their nearest in the sample, and the least number of lists that finds the share `recall` of them is probed by all queries, whatever the size of the table.
 Where vectors form clusters that is few lists; where they point everywhere alike, no list can be left out without loss, and it is most of them.
-For each probed list the inner product of query and centroid plus table look-ups (asymmetric distances: the query is not quantised)
-estimate all its members; the best `rerank` of them are scored exactly in double precision on the original
-vectors, and the k best of all lists remain.
+The members of probed lists are estimated by the inner product of the query, which is not quantised, with their centroid and the code words of their
+residual (asymmetric distances; a product of matrices for many queries at once adds up what look-up tables would); of each group of lists the best `rerank` are scored exactly in double precision on the
+original vectors, and the k best of all groups remain.
 
 An exact check follows, as the sample may not show what other rows are like (copies and near copies beyond `rerank`, long vectors, queries far from what was sampled).  The
 k-th score found so far is the bar; a query asks every list whose centroid's product plus its own length times the list's radius reaches the bar, and
 keeps what reaches it there.  By Cauchy and Schwarz nothing that belongs to the k nearest is left out.  Where vectors form clusters these are few lists; where they point
 everywhere alike they are most of them, and the check is a product of matrices, block by block.
 
-Hot lists: a list is cut into blocks of at most about `block_rows` members, and queries of a list into blocks of
-`block_queries`, so a task's work is bounded whatever a vector's frequency; each pair of blocks is scored on
-its own, and its k best per query are all it returns.
+Groups: neighbouring lists form groups of about `block_rows` members (a longer list is cut into blocks, each in a group of its own), and a query goes to a group once, with a bit for each
+list that it asks there.  The queries of a group are cut into parts of `block_queries`, so a task's work is bounded whatever a vector's frequency; each group and part is scored on
+its own, and its k best per query are all it returns.  Rows shuffled are queries times groups, not queries times lists.
 
 Defined results: a vector that is null, zero, holds null or a non-finite component, or has not the most frequent length of valid ones takes no part,
 as query or candidate; rows without vec_id take no part; of rows that repeat a vec_id the vector that sorts
@@ -39,6 +39,8 @@ from pyspark.sql import Window
 from ._runs import settle
 
 _HIT = "query_id long, vec_id long, score double"
+#: Numbers of a matrix of rows and lists, or queries and members, that a task holds at once.
+CELLS = 1 << 20
 
 
 def kmeans(x, k: int, rounds: int, seed: int):
@@ -64,11 +66,12 @@ def assign(x, c):
     """Nearest centroid of each row and the squared distance."""
     near, dist = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
     norm = (c * c).sum(1)
-    for a in range(0, len(x), 4096):
-        part = x[a : a + 4096]
+    step = max(1, CELLS // max(1, len(c)))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
         d = norm - 2 * part @ c.T
-        near[a : a + 4096] = d.argmin(1)
-        dist[a : a + 4096] = d[np.arange(len(part)), near[a : a + 4096]] + (part * part).sum(1)
+        near[a : a + step] = d.argmin(1)
+        dist[a : a + step] = d[np.arange(len(part)), near[a : a + step]] + (part * part).sum(1)
     return near, dist
 
 
@@ -98,13 +101,10 @@ class Quantiser:
         """How far each row (in double precision) is from its centroid."""
         return np.sqrt(((x - self.coarse[near].astype(np.float64)) ** 2).sum(1)) * (1 + 1e-9)
 
-    def tables(self, q):
-        """Inner products of each query's sub-vectors with the codebooks: queries x sub x 256."""
-        parts = self._parts(q)
-        out = np.zeros((len(q), self.sub, 256), np.float32)
-        for j, b in enumerate(self.books):
-            out[:, j, : len(b)] = parts[:, j] @ b.T
-        return out
+    def decode(self, near, codes):
+        """Centroids and code words that stand for rows; a query's product with them is its asymmetric distance."""
+        parts = [b[codes[:, j]] for j, b in enumerate(self.books)]
+        return self.coarse[near] + np.concatenate(parts, 1)[:, : self.dim]
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -134,31 +134,40 @@ def top(scores, k: int):
     return np.nonzero(above | (scores == bar) & (rank <= room))[1].reshape(len(scores), k)
 
 
-def _score_block(quantiser: Quantiser, k: int, rerank: int):
+def _sorted(members: pa.Table):
+    """vec_id and vector in the order of vec_id, and that order."""
+    ids = np.asarray(members["vec_id"])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], _matrix(members["vector"])[order], order
+
+
+def _score_block(held, k: int, rerank: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def score(key, members: pa.Table, probes: pa.Table) -> pa.Table:
         if not members.num_rows or not probes.num_rows:
             return schema.empty_table()
-        ids = np.asarray(members["vec_id"])
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(members["vector"])[order]
+        quantiser, groups = held.value[0], held.value[3]
+        ids, x, order = _sorted(members)
         codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order].astype(np.int64)
+        lists = np.asarray(members["list"])[order]
+        own = groups[key[0].as_py()]
+        place = np.searchsorted(own, lists)
+        decoded = quantiser.decode(lists, codes)
         qid, q = np.asarray(probes["query_id"]), _matrix(probes["vector"])
-        base = q.astype(np.float32) @ quantiser.coarse[key[0].as_py()]
+        asked = np.frombuffer(b"".join(probes["lists"].to_pylist()), np.uint8).reshape(len(qid), -1)
+        asked = np.unpackbits(asked, axis=1, count=len(own)).astype(bool)
         out_q, out_v, out_s = [], [], []
-        step = max(1, (4 << 20) // max(1, len(ids)))
+        step = max(1, 2 * CELLS // len(ids))
         for a in range(0, len(qid), step):
             part = q[a : a + step]
-            table = quantiser.tables(part.astype(np.float32))
-            estimate = np.repeat(base[a : a + step, None], len(ids), 1)
-            for j in range(quantiser.sub):
-                estimate += table[:, j][:, codes[:, j]]
+            estimate = part.astype(np.float32) @ decoded.T
             estimate[np.isnan(estimate)] = np.inf  # beyond single precision
+            estimate[~asked[a : a + step][:, place]] = -np.inf
             estimate[ids[None, :] == qid[a : a + step, None]] = -np.inf
             best = top(estimate, max(rerank, k) + 1)
             for r, cols in enumerate(best):
-                cols = cols[ids[cols] != qid[a + r]]
+                cols = cols[(ids[cols] != qid[a + r]) & asked[a + r, place[cols]]]
                 exact = (x[cols] * part[r]).sum(1)
                 pick = np.lexsort((ids[cols], -exact))[:k]
                 out_q.append(np.full(len(pick), qid[a + r]))
@@ -176,12 +185,12 @@ def _check_block(k: int):
     def check(members: pa.Table, probes: pa.Table) -> pa.Table:
         if not members.num_rows or not probes.num_rows:
             return schema.empty_table()
-        ids, x = np.asarray(members["vec_id"]), _matrix(members["vector"])
+        ids, x, _ = _sorted(members)
         qid, q, bar = np.asarray(probes["query_id"]), _matrix(probes["vector"]), np.asarray(probes["bar"])
         # products are rounded otherwise than the score
         low = bar - 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max())
         out_q, out_v, out_s = [], [], []
-        step = max(1, (4 << 20) // len(ids))
+        step = max(1, 2 * CELLS // len(ids))
         for a in range(0, len(qid), step):
             may = ~(q[a : a + step] @ x.T < low[a : a + step, None])
             for r in np.flatnonzero(may.any(1)).tolist():
@@ -231,6 +240,22 @@ def build_index(vectors: DataFrame, n: int, k: int, recall: float, lists: int |
     return quantiser, probes, vectors.select("vec_id", "vector").mapInArrow(place, "list long, vec_id long, vector array<double>, codes binary, away double")
 
 
+def grouped(coarse, count, block_rows: int):
+    """(groups of each list, one a block; lists of each group, in order): lists near each other, of some `block_rows` members together."""
+    near, _ = assign(coarse, kmeans(coarse, max(1, int(count.sum()) // block_rows), 4, 5))
+    of_list, groups, room = [[] for _ in count], [], 0.0
+    for j in np.argsort(near, kind="stable").tolist():
+        blocks = max(1, -(-int(count[j]) // block_rows))
+        for _ in range(blocks):
+            if not groups or count[j] / blocks > room:
+                groups.append([])
+                room = float(block_rows)
+            groups[-1].append(j)
+            of_list[j].append(len(groups) - 1)
+            room -= count[j] / blocks
+    return of_list, [np.unique(g) for g in groups]
+
+
 def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.98, rerank: int = 100, lists: int | None = None, sub: int = 32, most_train: int = 200_000, block_rows: int = 20_000, block_queries: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each vector whose id is divisible by `every`."""
     spark = table.sparkSession
@@ -244,46 +269,63 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     count, radius = np.zeros(len(quantiser.coarse), np.int64), np.zeros(len(quantiser.coarse))
     for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect():  # a row a list
         count[r.list], radius[r.list] = r.n, r.radius
-    held = spark.sparkContext.broadcast((quantiser, count, radius))
+    in_groups, groups = grouped(quantiser.coarse, count, block_rows)
+    held = spark.sparkContext.broadcast((quantiser, count, radius, groups))
 
-    def probe(batches):
-        q, size, _ = held.value
+    def asking(batches, take, extra: list[str]):
+        """A row for each query and group of lists that it takes, with a bit for each list of the group."""
+        own = held.value[3]
         for b in batches:
-            x = _matrix(b.column(1), np.float32)
-            order = np.argsort(-(x @ q.coarse.T), axis=1, kind="stable")
+            step = max(1, CELLS // len(held.value[1]))
+            for at in range(0, b.num_rows, step):
+                rows = b.slice(at, step)
+                taken = take(rows)
+                for g, lists in enumerate(own):
+                    some = taken[:, lists]
+                    row = np.flatnonzero(some.any(1))
+                    if len(row):
+                        bits = [r.tobytes() for r in np.packbits(some[row], axis=1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), g)), *(c.take(pa.array(row)) for c in rows.columns[:2]), pa.array(bits, pa.binary()), *(c.take(pa.array(row)) for c in rows.columns[2:])], names=["group", "query_id", "vector", "lists", *extra])
+
+    def probe(batches):
+        q, size = held.value[:2]
+
+        def take(rows):
+            order = np.argsort(-(_matrix(rows.column(1), np.float32) @ q.coarse.T), axis=1, kind="stable")
             before = np.cumsum(size[order], axis=1) - size[order]
             filled = size[order] > 0
-            take = filled & ((np.cumsum(filled, axis=1) <= probes_of) | (before <= k))
-            row, col = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, col]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["list", "query_id", "vector"])
+            taken = np.zeros(order.shape, bool)
+            np.put_along_axis(taken, order, filled & ((np.cumsum(filled, axis=1) <= probes_of) | (before <= k)), 1)
+            return taken
+
+        return asking(batches, take, [])
 
     def check(batches):
-        q, size, wide = held.value
+        q, size, wide = held.value[:3]
         centre = q.coarse.astype(np.float64)
         room = wide + 1e-9 * np.sqrt((centre * centre).sum(1))
-        for b in batches:
-            x = _matrix(b.column(1))
-            reach = x @ centre.T + np.sqrt((x * x).sum(1))[:, None] * room
-            row, col = np.nonzero((size > 0) & ~(reach < np.asarray(b.column(2))[:, None]))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(col), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["list", "query_id", "vector", "bar"])
+
+        def take(rows):
+            x = _matrix(rows.column(1))
+            return (size > 0) & ~(x @ centre.T + np.sqrt((x * x).sum(1))[:, None] * room < np.asarray(rows.column(2))[:, None])
+
+        return asking(batches, take, ["bar"])
 
     def best(probes: DataFrame, score, columns: list[str]) -> DataFrame:
-        probes = settle(probes, "probes")
-        asked = {r.list: r["count"] for r in probes.groupBy("list").count().collect()}
-        shape = [(j, max(1, -(-int(c) // block_rows)), max(1, -(-asked.get(j, 0) // block_queries))) for j, c in enumerate(count)]
-        shape = spark.createDataFrame(shape, "list long, n_blocks int, n_parts int")  # a row a list
-        block = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
-        part = F.pmod(F.xxhash64("query_id"), F.col("n_parts")).cast("int")
-        members = placed.join(F.broadcast(shape), "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), *columns)
-        asks = probes.join(F.broadcast(shape), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), part.alias("part"), "query_id", "vector", *probes.columns[3:])
-        keys = ["list", "block", "part"]
-        hits = members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, _HIT)
+        probes = settle(probes, "probes", free=True)
+        asked = {r.group: r["count"] for r in probes.groupBy("group").count().collect()}  # a row a group
+        parts = [max(1, -(-asked.get(g, 0) // block_queries)) for g in range(len(groups))]
+        of_list = spark.createDataFrame([(j, g, [parts[x] for x in g]) for j, g in enumerate(in_groups)], "list long, groups array<int>, parts array<int>")  # a row a list
+        of_group = spark.createDataFrame(list(enumerate(parts)), "group long, n_parts int")
+        block = F.pmod(F.xxhash64("vec_id"), F.size("groups")).cast("int")
+        members = placed.join(F.broadcast(of_list), "list").select("list", F.get("groups", block).cast("long").alias("group"), F.explode(F.sequence(F.lit(0), F.get("parts", block) - 1)).alias("part"), *columns)
+        asks = probes.join(F.broadcast(of_group), "group").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("n_parts")).cast("int")).drop("n_parts")
+        hits = members.groupBy("group", "part").cogroup(asks.groupBy("group", "part")).applyInArrow(score, _HIT)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     queries = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    found = best(queries.mapInArrow(probe, "list long, query_id long, vector array<double>"), _score_block(quantiser, k, rerank), ["vec_id", "vector", "codes"])
+    found = best(queries.mapInArrow(probe, "group long, query_id long, vector array<double>, lists binary"), _score_block(held, k, rerank), ["vec_id", "vector", "codes"])
     bars = settle(found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar")), "bars")
     open_ = queries.join(bars, "vec_id", "left").select("vec_id", "vector", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
-    return best(open_.mapInArrow(check, "list long, query_id long, vector array<double>, bar double"), _check_block(k), ["vec_id", "vector"])
+    return best(open_.mapInArrow(check, "group long, query_id long, vector array<double>, lists binary, bar double"), _check_block(k), ["vec_id", "vector"])

@@ -88,3 +88,27 @@ def test_rows_that_a_sample_does_not_show(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got, want = found(search(df)), brute(np.arange(len(x)), x)
     assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
+def test_queries_go_to_groups_of_lists(spark, monkeypatch):
+    """Vectors without clusters ask nearly all lists: a query is a row a group and not a row a list, and matrices of rows and lists are cut."""
+    from ledgerlake.llm import ivf_pq
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(6000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    settle, sizes = ivf_pq.settle, []
+
+    def counted(table, what, free=False):
+        out = settle(table, what, free)
+        if what == "probes":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ivf_pq, "settle", counted)
+    got, want = found(search(df, block_rows=2000)), brute(np.arange(6000), x)
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+    assert len(sizes) == 2 and max(sizes) <= 300 * 5  # 77 lists in some four groups
+    monkeypatch.setattr(ivf_pq, "CELLS", 500)
+    near, dist = ivf_pq.assign(x[:200].astype(np.float32), x[200:300].astype(np.float32))
+    assert near.tolist() == [int(((x[200:300] - v) ** 2).sum(1).argmin()) for v in x[:200]]
