@@ -70,3 +70,27 @@ def test_pairs_are_scored_in_slices(spark, monkeypatch):
     monkeypatch.setattr(C, "_cut", counted)
     assert C.similar_pairs(df, "id", "text", 0.85).count() == 20 * 19 // 2 == sum(sizes)
     assert len(sizes) == 10 and max(sizes) < 50
+
+
+def test_document_pairs_hold_copies(spark):
+    """Copies, texts of one token set and near texts of copies: every pair of documents."""
+    sets = _planted(60, 120, seed=5)
+    texts = [" ".join(s) for _, s in sets]
+    texts += texts[:20] + [t.upper() + "!" for t in texts[5:15]] + [None, "", "?"]
+    held = [set((t or "").lower().replace("!", "").replace("?", "").split()) for t in texts]
+    want = {(a, b): round(len(x & y) / len(x | y), 9) for a, x in enumerate(held) for b, y in enumerate(held) if a < b and x and y and len(x & y) / len(x | y) >= 0.85}
+    got = C.document_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", 0.85).collect()
+    assert {(r.a, r.b): r.j for r in got} == want and len(got) == len(want) and sum(j == 1 for j in want.values()) >= 30
+    assert any(j < 1 and b >= 60 for (_, b), j in want.items())
+
+
+def test_near_copies_are_scored_in_one_place(spark, monkeypatch):
+    """Forty near copies are 780 pairs: a set is sent to a place once, not once a pair, and places of many pairs are cut up."""
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y z w{k}") for k in range(40)], "id long, text string")
+    sent = []
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "_sliced", lambda pairs, most, scored: sent.append(pairs) or scored(pairs))
+    out = C.similar_pairs(df, "id", "text", 0.85)
+    assert out.count() == 780 and sent[0].select("bucket").distinct().count() == 1 and "array_intersect" not in plan(out)
+    monkeypatch.setattr(C, "PAIRS", 50)
+    assert C.similar_pairs(df, "id", "text", 0.85).count() == 780 and sent[1].groupBy("bucket").count().agg({"count": "max"}).first()[0] < 300
